@@ -59,10 +59,10 @@ def templated(rows: DataFrame, key: str, text_col: str) -> DataFrame:
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """item_id, at, h, values, template: each window of each item with two literal tokens or more."""
-    rows = templated(benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")), "item_id", "text")
-    each = rows.select("item_id", F.explode(F.transform(_starts(F.col("template")), lambda i: F.struct(i.alias("at"), _hash(F.col("template"), i).alias("h"), F.slice("raw", i + 1, F.lit(WIDTH)).alias("values"), F.slice("template", i + 1, F.lit(WIDTH)).alias("types")))).alias("w"))
+    rows = materialise(templated(benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")), "item_id", "text"), "benchmark-templates")
+    each = rows.select("item_id", F.explode_outer(F.transform(_starts(F.col("template")), lambda i: F.struct(i.alias("at"), _hash(F.col("template"), i).alias("h"), F.slice("raw", i + 1, F.lit(WIDTH)).alias("values"), F.slice("template", i + 1, F.lit(WIDTH)).alias("types")))).alias("w"))
     literal = F.size(F.filter("w.types", lambda t: ~t.isin(NUMBER, NAME, UNIT))) >= 2
-    return each.where(literal).select("item_id", "w.*")
+    return each.where("w is not null").where(literal).select("item_id", "w.*")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -77,16 +77,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     template = F.col("template")
     rows = templated(texts, "doc_id", "text").select("doc_id", F.transform(_starts(template), lambda i: _hash(template, i)).alias("hs"))
-    met = rows.select("doc_id", F.explode("hs").alias("h")).join(hashes, "h", "left_semi").distinct()
+    # the outer form, as a filter inferred from the plain one would go below the templates and work them out for each window
+    met = rows.select("doc_id", F.explode_outer("hs").alias("h")).join(hashes, "h", "left_semi").distinct()
     cover = met.join(held, "h").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("windows")).join(sizes, "item_id")
     likely = materialise(cover.where(F.col("windows") >= SHARE * F.col("item_windows")), "candidates")
     # second look, at the candidates' texts only
     ids = likely.select("doc_id").distinct()
     if ids.count() <= BROADCAST_ROWS:  # of checked size
         ids = F.broadcast(ids)
-    rows = templated(texts.join(ids, "doc_id", "left_semi"), "doc_id", "text")
+    rows = materialise(templated(texts.join(ids, "doc_id", "left_semi"), "doc_id", "text"), "candidate-templates")
     rows = rows.select("doc_id", F.transform(_starts(template), lambda i: F.struct(i.alias("d_at"), _hash(template, i).alias("h"), F.slice("raw", i + 1, F.lit(WIDTH)).alias("d_values"))).alias("ws"))
-    pairs = rows.select("doc_id", F.explode("ws").alias("w")).select("doc_id", "w.*").join(F.broadcast(bench) if small else bench, "h").join(likely.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
+    pairs = rows.select("doc_id", F.explode_outer("ws").alias("w")).select("doc_id", "w.*").join(F.broadcast(bench) if small else bench, "h").join(likely.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
     slot = F.explode(F.arrays_zip("types", "values", "d_values"))
     slots = pairs.select("doc_id", "item_id", (F.col("d_at") - F.col("at")).alias("shift"), slot.alias("s")).where(F.col("s.types").isin(NUMBER, NAME, UNIT))
     seen = slots.groupBy("doc_id", "item_id", "shift", F.col("s.values").alias("mine"), F.col("s.d_values").alias("theirs")).agg(F.count(F.lit(1)).alias("n"))

@@ -16,6 +16,7 @@ import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,33 @@ from pyspark.sql.window import Window
 from .common import materialise, rows_of, small_batches
 
 CAPACITY = 2048
-_CACHE_LIMIT = 400_000
+_CACHE_LIMIT = 600_000
+
+
+class _Known(dict):
+    """Word -> its ids as little-endian uint32 bytes, worked out when first met; emptied when large."""
+
+    def __init__(self, tokenizer) -> None:  # noqa: ANN001
+        super().__init__()
+        self.tokenizer, self.cores = tokenizer, {}
+        self.marks = {c: self.ids(c) for c in ".,"}
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > _CACHE_LIMIT:
+            self.clear()
+            self.cores.clear()
+        # a full stop or comma after a letter or digit is a token of its own, and the tokenizer lower-cases
+        core, mark = (word[:-1], word[-1]) if len(word) > 1 and word[-1] in ".," and word[-2].isalnum() else (word, "")
+        if core.isascii():
+            core = core.lower()
+        held = self.cores.get(core)
+        if held is None:
+            held = self.cores[core] = self.ids(core)
+        self[word] = held + self.marks[mark] if mark else held
+        return self[word]
 
 
 class WordEncoder:
@@ -37,20 +64,18 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(Tokenizer.from_file(path))
 
     def encode(self, text: str) -> bytes:
         if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):  # a special token's string, or what only Python splits at
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.split()
-        fresh = [w for w in set(words) if w not in self.known]
-        if len(self.known) + len(fresh) > _CACHE_LIMIT:
-            self.known.clear()
-            fresh = list(set(words))
-        for w, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+            return self.known.ids(text)
+        return b"".join(map(self.known.__getitem__, text.split()))
+
+
+@cache
+def encoder_of(path: str) -> WordEncoder:
+    """One for each worker process, so that its words are kept from task to task."""
+    return WordEncoder(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -59,7 +84,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         for ids, texts in rows_of(batches):
             out = []
             for doc_id, text in zip(ids, texts):

@@ -1,6 +1,6 @@
 """Toxic passages by maximum-scoring segments.
 
-A token is a run of letters; its units are the word and its prefixes of 4 to 6 letters. Each unit's log-odds
+A token is a run of letters; its units are the word and its prefixes of 4 to 8 letters. Each unit's log-odds
 between toxic and clean documents carry an informative Dirichlet prior (the unit's share over both classes), and
 only units whose log-likelihood ratio is significant count. A token scores by its most certain unit, less a small
 drift for every token, so clean text drifts down. One linear scan finds all maximal segments. Under the
@@ -30,7 +30,7 @@ from .common import bounded_sample, held_out, materialise, rows_of, small_batche
 #: Fixed values of the method.
 SAMPLE, MAX_UNITS = 20_000, 50_000
 DRIFT, PRIOR_DOCS, LEAST_G2, LEAST_DOCS = 0.1, 10.0, 15.0, 4
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 NO_SEGMENT = -8.0
 _LETTERS = re.compile(r"[^\W\d_]+")
 

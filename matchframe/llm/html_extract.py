@@ -26,6 +26,7 @@ from .common import rows_of, small_batches
 #: Element names and class words, by their part in the method.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("head title script style noscript template svg math canvas iframe object nav header footer aside form button select option textarea input dialog menu".split())
+DROPPED_BLOCKS = frozenset("nav header footer aside form dialog menu".split())
 BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_ITEM = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -79,7 +80,7 @@ class Tree(HTMLParser):
             if tag not in VOID:
                 self.dropped.append(tag)
             return
-        if tag in BLOCKS or tag in DROPPED and tag not in ("button", "input", "select", "textarea"):
+        if tag in BLOCKS or tag in DROPPED_BLOCKS:
             self._pop_to("p", ("td", "th", "li", "div", "section", "article", "main", "blockquote", "body", "table"))
         if tag in CLOSES_ITEM:
             self._pop_to(tag, CLOSES_ITEM[tag])

@@ -13,7 +13,9 @@ gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
@@ -28,48 +30,53 @@ from pyspark.sql.window import Window
 from .common import materialise, rows_of, small_batches
 
 CAPACITY = 2048
-_CACHE_LIMIT = 600_000
-
-
-class _Known(dict):
-    """Word -> its ids as little-endian uint32 bytes, worked out when first met; emptied when large."""
-
-    def __init__(self, tokenizer) -> None:  # noqa: ANN001
-        super().__init__()
-        self.tokenizer, self.cores = tokenizer, {}
-        self.marks = {c: self.ids(c) for c in ".,"}
-
-    def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > _CACHE_LIMIT:
-            self.clear()
-            self.cores.clear()
-        # a full stop or comma after a letter or digit is a token of its own, and the tokenizer lower-cases
-        core, mark = (word[:-1], word[-1]) if len(word) > 1 and word[-1] in ".," and word[-2].isalnum() else (word, "")
-        if core.isascii():
-            core = core.lower()
-        held = self.cores.get(core)
-        if held is None:
-            held = self.cores[core] = self.ids(core)
-        self[word] = held + self.marks[mark] if mark else held
-        return self[word]
+_CACHE_LIMIT = 800_000
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 class WordEncoder:
-    """Ids of a text, as little-endian uint32 bytes. The tokenizer drops white space, so words are encoded apart and kept."""
+    """Ids of texts, as little-endian uint32 bytes. The tokenizer drops white space, so words are encoded apart and kept; the store is emptied when large."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.known = _Known(Tokenizer.from_file(path))
-
-    def encode(self, text: str) -> bytes:
-        if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):  # a special token's string, or what only Python splits at
-            return self.known.ids(text)
-        return b"".join(map(self.known.__getitem__, text.split()))
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+        self.marks = {c: self.whole(c) for c in ".,"}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def learn(self, words: set[str]) -> None:
+        """A full stop or comma after a letter or digit is a token of its own, and the tokenizer lower-cases: words that differ so share their ids."""
+        words, cores, marks = list(words), [], []
+        for word in words:
+            core, mark = word, b""
+            if word[-1] in self.marks and len(word) > 1 and word[-2].isalnum():
+                core, mark = word[:-1], self.marks[word[-1]]
+            cores.append(core.lower() if core.isascii() else core)
+            marks.append(mark)
+        listed = list(set(cores) - self.cores.keys())
+        for k in range(0, len(listed), 4096):
+            part = listed[k : k + 4096]
+            for core, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.cores[core] = array("I", found.ids).tobytes()
+        for word, core, mark in zip(words, cores, marks):
+            self.known[word] = self.cores[core] + mark if mark else self.cores[core]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        # a special token's string, or what only Python splits at, leaves a text whole
+        lists = [None if "<|" in t or _SEPARATORS.search(t) else t.split() for t in texts]
+        words = set().union(*filter(None, lists))
+        fresh = words - self.known.keys()
+        if len(self.known) + len(fresh) > _CACHE_LIMIT:
+            self.known.clear()
+            self.cores.clear()
+            fresh = words
+        self.learn(fresh)
+        return [self.whole(t) if ws is None else b"".join(map(self.known.__getitem__, ws)) for t, ws in zip(texts, lists)]
 
 
 @cache
@@ -87,8 +94,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         encoder = encoder_of(tokenizer_path)
         for ids, texts in rows_of(batches):
             out = []
-            for doc_id, text in zip(ids, texts):
-                held = encoder.encode(text or "") + b"\0\0\0\0"
+            for doc_id, held in zip(ids, encoder.encode([t or "" for t in texts])):
+                held += b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(held), 4 * capacity)):
                     part = held[at : at + 4 * capacity]
                     out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))

@@ -168,7 +168,7 @@ def test_words_are_encoded_like_whole_texts(text):
     import public_tokenizers
 
     encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
-    assert encoder.encode(text) == np.array(encoder.known.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert encoder.encode([text, text]) == [np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()] * 2
 
 
 # Sharding

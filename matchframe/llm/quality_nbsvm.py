@@ -139,8 +139,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
         at = np.flatnonzero(weights[1])
         yield pa.RecordBatch.from_arrays([pa.array([*at, -1, -3], pa.int32()), pa.array([*weights[0][at], bias, slope]), pa.array([*weights[1][at], 0.0, intercept])], names)
 
-    # a bounded sample, so one task can hold it
-    held = rows.mapInArrow(features, "y int, fold int, x array<int>").coalesce(1).mapInArrow(solve, "bucket int, w double, ratio double").collect()
+    # a bounded sample, so one task can hold it; the indicators are made by many
+    held = rows.mapInArrow(features, "y int, fold int, x array<int>").repartition(1).mapInArrow(solve, "bucket int, w double, ratio double").collect()
     model = {"weights": np.zeros((2, BUCKETS), np.float32), "bias": 0.0, "slope": 1.0, "intercept": 0.0, "constant": None}
     for r in held:
         if r["bucket"] == -2:

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,11 +20,13 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 def scratch(spark: SparkSession) -> str:
     """The shared folder of the cluster; a local one only where the session names none, as in tests."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        there = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        atexit.register(shutil.rmtree, there, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", there)
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+
+
+@cache
+def _own_folder() -> str:
+    there = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    atexit.register(shutil.rmtree, there, ignore_errors=True)
     return there
 
 

@@ -27,6 +27,7 @@ from .common import materialise, rows_of, small_batches
 
 SEGMENTS, SEGMENT_BITS = 16, 4
 RADIUS = 2
+BROADCAST_ROWS = 1_000_000
 _CHUNK = 1 << 16
 
 
@@ -187,5 +188,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows that share the group's smallest doc_id are one document and all stay; a null doc_id is never dropped.
     """
     marked = near_duplicates(docs)
-    gone = marked.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = materialise(marked.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    if gone.count() <= BROADCAST_ROWS:  # of checked size; beyond it the texts are shuffled
+        gone = F.broadcast(gone)
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -19,6 +19,7 @@ from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -58,7 +59,7 @@ class WordEncoder:
                 core, mark = word[:-1], self.marks[word[-1]]
             cores.append(core.lower() if core.isascii() else core)
             marks.append(mark)
-        listed = list(set(cores) - self.cores.keys())
+        listed = list(filterfalse(self.cores.__contains__, set(cores)))
         for k in range(0, len(listed), 4096):
             part = listed[k : k + 4096]
             for core, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
@@ -70,7 +71,7 @@ class WordEncoder:
         # a special token's string, or what only Python splits at, leaves a text whole
         lists = [None if "<|" in t or _SEPARATORS.search(t) else t.split() for t in texts]
         words = set().union(*filter(None, lists))
-        fresh = words - self.known.keys()
+        fresh = set(filterfalse(self.known.__contains__, words))  # taking the keys off a set would walk all that are known
         if len(self.known) + len(fresh) > _CACHE_LIMIT:
             self.known.clear()
             self.cores.clear()

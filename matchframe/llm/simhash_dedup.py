@@ -8,6 +8,10 @@ distance. A cell with more fingerprints than `cell_limit` is refined to segments
 fingerprint, at most 65 fingerprints a cell, and any two that share one are within 2 bits. So no group grows
 with the data, and no cell gives pairs by the square of its size: each gives a spanning forest of its links.
 
+The training set's near copies (`keep_one`) are those of 5-word Jaccard similarity 0.8 or more, found exactly: such
+sets share a shingle among the first fifth of each in one order of all shingles; pairs that meet are verified by
+their whole sets.
+
 Null text counts as empty; empty texts have fingerprint zero and link like any other. Rows with one id twice
 stay separate rows and get the same component. An empty table gives an empty result.
 """
@@ -23,10 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, rows_of, small_batches
+from .common import bounded_sample, materialise, rows_of, small_batches
 
 SEGMENTS, SEGMENT_BITS = 16, 4
 RADIUS = 2
+#: Near copies of the training set: words a shingle, documents sampled for common shingles, and the share that makes one common.
+WIDTH, SAMPLE, COMMON = 5, 20_000, 0.001
 BROADCAST_ROWS = 1_000_000
 _CHUNK = 1 << 16
 
@@ -182,12 +188,163 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, prints.fp == named.fp2, "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted hashes of the text's different word shingles; a shorter text is one shingle, an empty one has none."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(width)))) if len(words) >= width else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64))
+
+
+def _key(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes()) - (1 << 63)
+
+
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    """Hashes of shingles in more than COMMON of a bounded sample of documents, sorted; their number is bounded by the words of a document over COMMON."""
+    sample = bounded_sample(docs.select("doc_id", "text"), "doc_id", SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in rows_of(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t) for t in texts]).view(np.int64))], ["h"])
+
+    counted = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON * SAMPLE)
+    return np.sort(np.array([r.h for r in counted.select("h").collect()], np.int64).view(np.uint64))
+
+
+def prefixes(docs: DataFrame) -> DataFrame:
+    """doc_id, key (of the set of shingles), n (its size), prefix: the first shingles in one order of all shingles, common ones last.
+
+    Two sets of Jaccard similarity 0.8 or more share a shingle within these prefixes, whatever the order.
+    """
+    common = common_shingles(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in rows_of(batches):
+            sets = [shingle_set(t) for t in texts]
+            heads = []
+            for s in sets:
+                last = np.isin(s, common)
+                heads.append(np.concatenate([s[~last], s[last]])[: len(s) - (4 * len(s) + 4) // 5 + 1].view(np.int64))
+            ends = np.cumsum([0] + [len(h) for h in heads]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array([_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads)))],
+                ["doc_id", "key", "n", "prefix"],
+            )
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, key long, n long, prefix array<long>")
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Columns as rows of a matrix, in parts that do not cut a run of equal values of the first column."""
+    held: list[np.ndarray] = []
+    size = 0
+    for batch in batches:
+        held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]))
+        size += held[-1].shape[1]
+        if size >= 200_000:
+            rows = np.concatenate(held, axis=1)
+            whole = int(np.searchsorted(rows[0], rows[0][-1]))  # the last group may go on in the next batch
+            if whole:
+                yield rows[:, :whole]
+            held, size = [rows[:, whole:]], rows.shape[1] - whole
+    if size:
+        yield np.concatenate(held, axis=1)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose shingle is in the prefix of more than one set."""
+    for rows in _whole_groups(batches):
+        same = rows[0][1:] == rows[0][:-1]
+        kept = rows[:, np.append(same, False) | np.append(False, same)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in kept], ["h", "n", "key"])
+
+
+def _meeting(lags: range | None):
+    """Pairs of sets that share a shingle of their prefixes and can be similar: neighbours by size only, or all of different components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, n, key, label in _whole_groups(batches):
+            left, right, live, lag = [], [], np.arange(len(h)), 1
+            while len(live) and (lags is None or lag in lags):
+                live = live[live + lag < len(h)]
+                live = live[(h[live] == h[live + lag]) & (5 * n[live] >= 4 * n[live + lag])]  # sorted by size: further ones are larger
+                good = live[label[live] != label[live + lag]]
+                left.append(key[good])
+                right.append(key[good + lag])
+                lag += 1
+            if left:
+                pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], ["u", "v"])
+
+    return run
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, distinct: DataFrame, prints: DataFrame) -> DataFrame:
+    """The pairs of keys whose sets have Jaccard similarity 0.8 or more, by the sets themselves.
+
+    Of the pairs that meet most are ruled out by their prefixes: what sets share beyond the shingles common to both
+    prefixes lies behind the prefix that ends first.
+    """
+    pairs = materialise(pairs.distinct(), "met")
+    met = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
+    heads = materialise(prints.select("key", "n", "prefix").join(met, "key", "left_semi").dropDuplicates(["key"]), "heads")
+    side = lambda name: heads.select(F.col("key").alias(name), F.struct("n", "prefix").alias(f"{name}h"))
+    shared = F.size(F.array_intersect("uh.prefix", "vh.prefix"))
+    beyond = F.greatest(F.col("uh.n") - F.size("uh.prefix"), F.col("vh.n") - F.size("vh.prefix"))
+    able = (9 * (shared + beyond) >= 4 * (F.col("uh.n") + F.col("vh.n"))) & (5 * F.least("uh.n", "vh.n") >= 4 * F.greatest("uh.n", "vh.n"))
+    pairs = materialise(pairs.join(side("u"), "u").join(side("v"), "v").where(able).select("u", "v"), "pairs")
+    keys = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
+    wanted = materialise(distinct.join(keys, "key", "left_semi").select("doc_id").distinct(), "wanted")
+    if wanted.count() <= BROADCAST_ROWS:  # of checked size
+        wanted = F.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (texts,) in rows_of(batches):
+            sets = [shingle_set(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["key", "hashes"])
+
+    texts = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(wanted, "doc_id", "left_semi").select("text")
+    sets = materialise(texts.mapInArrow(run, "key long, hashes array<long>").dropDuplicates(["key"]), "sets")
+    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("hashes").alias("b")), "v")
+    return both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """doc_id, component_id: groups of texts linked by 5-word Jaccard similarity of 0.8 or more, named by their smallest doc_id; no row for null ids.
+
+    First neighbours by size are compared for each shared shingle, then all pairs that are not yet in one group, so
+    that a large group of near copies does not give pairs by the square of its size.
+    """
+    small_batches(docs.sparkSession)
+    prints = materialise(prefixes(docs).where("doc_id is not null"), "prefixes")
+    distinct = materialise(prints.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "distinct-sets")
+    copies = prints.select("doc_id", "key").join(distinct.withColumnRenamed("doc_id", "least"), "key").where("doc_id <> least").select("doc_id", "key").distinct()
+    copies = materialise(copies, "exact-copies")
+    if copies.count() <= BROADCAST_ROWS:  # of checked size; beyond it the prefixes are shuffled
+        copies = F.broadcast(copies)
+    once = prints.join(copies, ["doc_id", "key"], "left_anti").select("n", "key", F.explode_outer("prefix").alias("h")).where("h is not null")
+    by_shingle = lambda rows: rows.repartition("h").sortWithinPartitions("h", "n", "key")
+    shared = materialise(by_shingle(once.select("h", "n", "key")).mapInArrow(_shared, "h long, n long, key long"), "shared-shingles")
+    near = by_shingle(shared.withColumn("label", F.col("key"))).mapInArrow(_meeting(range(1, 2)), "u long, v long")
+    first = materialise(_verified(docs, near, distinct, prints), "links")
+    named = components(first).select(F.col("u").alias("key"), "component")
+    labelled = shared.join(named, "key", "left").select("h", "n", "key", F.coalesce("component", "key").alias("label"))
+    rest = by_shingle(labelled).mapInArrow(_meeting(None), "u long, v long")
+    named = components(first.union(_verified(docs, rest, distinct, prints))).select(F.col("u").alias("key"), "component")
+    groups = distinct.join(named, "key", "left").select("key", "doc_id", F.coalesce("component", "key").alias("component"))
+    smallest = groups.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    groups = groups.select("key", "component").join(smallest, "component").select("key", "component_id")
+    return prints.select("doc_id", "key").join(groups, "key").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Documents without those that have a smaller doc_id in their group; columns and order of columns stay.
+    """Documents without those that have a smaller doc_id in their group of near copies; columns and order of columns stay.
 
     Rows that share the group's smallest doc_id are one document and all stay; a null doc_id is never dropped.
     """
-    marked = near_duplicates(docs)
+    marked = similar(docs)
     gone = materialise(marked.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
     if gone.count() <= BROADCAST_ROWS:  # of checked size; beyond it the texts are shuffled
         gone = F.broadcast(gone)

@@ -99,6 +99,39 @@ def test_simhash_links_of_dense_groups(spark, limit):
     assert {k: found.get(k, k) for k in range(len(fps))} == brute_components([(k, f) for k, f in enumerate(fps)])
 
 
+def test_near_copies_of_the_training_set(spark):
+    """Planted copies at 5-word Jaccard 0.8 to 0.97 go, those below stay, against all pairs."""
+    rng = random.Random(5)
+    texts, shared = [], "these nine words stand at the head of all texts".split()
+    for k in range(40):
+        base = shared + [f"w{rng.randrange(400)}" for _ in range(300)]
+        texts.append(base)
+        for changes in (1, 3, 5, 6, 7, 9, 14)[: k % 8]:
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), changes):
+                copy[at] = f"x{rng.randrange(10**6)}"
+            texts.append(copy)
+    texts += [list(texts[0]), ["few", "words"], ["few", "words"], []]
+    docs = documents(spark, [(k, " ".join(t)) for k, t in enumerate(texts)])
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} or {tuple(t)} for t in texts]
+    parent = list(range(len(sets)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    levels = []
+    for a in range(len(sets)):
+        for b in range(a):
+            alike = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            levels.append(alike)
+            if alike >= 0.8 and root(a) != root(b):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert any(0.8 <= x < 0.85 for x in levels) and any(0.9 < x < 0.98 for x in levels) and any(0.6 < x < 0.8 for x in levels)
+    assert {r.doc_id for r in simhash_dedup.keep_one(docs).collect()} == {root(k) for k in range(len(sets))}
+
+
 def test_simhash_odd_rows(spark, odd):
     got = simhash_dedup.near_duplicates(odd).collect()
     assert len(got) == 9 and {r.component_id for r in got if r.doc_id in (1, 2, 3)} == {1}

@@ -6,9 +6,10 @@ different windows is a candidate. For candidates the values behind the placehold
 alignment an item's value must stand for one value of the document throughout (0.8 of the slots at least), so
 that the same question with other numbers or names is caught, and chance matches of templates are not.
 
-The benchmark's windows are broadcast only up to BROADCAST_ROWS of them; beyond that the join is shuffled. Items
-and texts of fewer than five tokens have no window and match nothing; windows with fewer than two literal tokens
-are left out. Null texts count as empty. Repeated rows and ids give one result per id and item. Empty tables give
+The benchmark's windows are broadcast only up to BROADCAST_ROWS of them; beyond that the join is shuffled. Windows
+with fewer than two literal tokens are left out. Items without a window (short ones, arithmetic) are looked for
+token by token in lower case: as a whole up to five tokens, beyond that by windows of five. An item of a single
+token is found only where it is the whole text, as it would stand in any. Null texts count as empty. Repeated rows and ids give one result per id and item. Empty tables give
 an empty result.
 """
 
@@ -65,6 +66,33 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     return each.where("w is not null").where(literal).select("item_id", "w.*")
 
 
+def _literal_windows(raw: Column, widths: list[int]) -> Column:
+    """Hashes of the runs of `widths` lower-case tokens; a run of one must be the whole text."""
+    low = F.transform(raw, F.lower)
+    runs = lambda w: F.when(F.size(raw) >= w if w > 1 else F.size(raw) == 1, F.transform(F.sequence(F.lit(0), F.size(raw) - w), lambda i: F.xxhash64(F.lit(w), F.array_join(F.slice(low, i + 1, F.lit(w)), " ")))).otherwise(F.array().cast("array<bigint>"))
+    return F.concat(*[runs(w) for w in widths])
+
+
+def literal_matches(texts: DataFrame, benchmark: DataFrame, bench: DataFrame, item_col: str = "item_id") -> DataFrame | None:
+    """doc_id, item_id, windows, item_windows of the items that have no template window; None where all have one."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), tokens_of(F.col("text")).alias("raw"))
+    items = materialise(items.where(F.size("raw") > 0).join(bench.select("item_id").distinct(), "item_id", "left_anti"), "items-without-windows")
+    width = F.least(F.size("raw"), F.lit(WIDTH))
+    widths = sorted(r.w for r in items.select(width.alias("w")).distinct().collect())  # WIDTH values at most
+    if not widths:
+        return None
+    each = F.coalesce(*[F.when(width == w, _literal_windows(F.col("raw"), [w])) for w in widths])
+    held = materialise(items.select("item_id", F.explode_outer(each).alias("h")).distinct(), "literal-windows")
+    sizes = held.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
+    hashes = held.select("h").distinct()
+    if held.count() <= BROADCAST_ROWS:  # of checked size
+        hashes, held = F.broadcast(hashes), F.broadcast(held)
+    rows = texts.select("doc_id", tokens_of(F.col("text")).alias("raw")).select("doc_id", _literal_windows(F.col("raw"), widths).alias("hs"))
+    met = rows.select("doc_id", F.explode_outer("hs").alias("h")).join(hashes, "h", "left_semi").distinct()
+    cover = met.join(held, "h").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("windows")).join(sizes, "item_id")
+    return cover.where(F.col("windows") >= SHARE * F.col("item_windows")).select("doc_id", "item_id", "windows", "item_windows")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """doc_id, item_id, windows, item_windows, coverage, slots, agreement, verbatim: the matches that hold."""
     bench = materialise(benchmark_windows(benchmark, item_col), "benchmark-windows")
@@ -94,10 +122,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kept = seen.groupBy("doc_id", "item_id", "shift", "mine").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum(F.when(F.col("mine") == F.col("theirs"), F.col("n")).otherwise(0)).alias("equal"))
     agreed = kept.groupBy("doc_id", "item_id").agg(F.sum("n").alias("slots"), (F.sum("most") / F.sum("n")).alias("agreement"), (F.sum("equal") == F.sum("n")).alias("verbatim"))
     out = likely.join(agreed, ["doc_id", "item_id"], "left")
-    return out.where(F.coalesce(F.col("agreement"), F.lit(1.0)) >= SHARE).select(
+    out = out.where(F.coalesce(F.col("agreement"), F.lit(1.0)) >= SHARE).select(
         "doc_id", "item_id", "windows", "item_windows", (F.col("windows") / F.col("item_windows")).alias("coverage"),
         F.coalesce("slots", F.lit(0)).alias("slots"), F.coalesce("agreement", F.lit(1.0)).alias("agreement"), F.coalesce("verbatim", F.lit(True)).alias("verbatim"),
     )
+    plain = literal_matches(texts, benchmark, bench, item_col)
+    if plain is None:
+        return out
+    share = F.col("windows") / F.col("item_windows")
+    return out.union(plain.select(
+        "doc_id", "item_id", "windows", "item_windows", share.alias("coverage"), F.lit(0).cast("long").alias("slots"), F.lit(1.0).alias("agreement"), (share == 1).alias("verbatim"),
+    ))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -348,6 +348,15 @@ def test_reparameterised_questions(spark):
     assert decontam.contaminated(documents(spark, []), bench).count() == 0 and decontam.contaminated(kept, bench.limit(0)).count() == 0
 
 
+def test_items_without_template_windows(spark):
+    items = ["What is 12 + 45 * 3 - 7 / 2", "prime number theorem", "Alice Brown 7 8 Bob Green 9 Carol White 10", "Paris", "too short"]
+    texts = [f"first words, {items[0]} and more", f"THE {items[1].upper()}, again", f"so {items[2]} it goes", "Paris", "they went to Paris on foot", "What is 12 + 45 * 3 - 8 / 2", "theorem prime number", None, ""]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = documents(spark, list(enumerate(texts)))
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()} == {(0, 0), (1, 1), (2, 2), (3, 3)}
+    assert sorted(r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()) == [4, 5, 6, 7, 8]
+
+
 def test_verbatim_passages_are_found(spark, small):
     bench = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     want = {(r.doc_id, i) for r in small.collect() for i, t in bench if t in (r.text or "")}

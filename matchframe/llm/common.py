@@ -9,7 +9,9 @@ import uuid
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,16 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         yield [column.to_pylist() for column in batch.columns]
 
 
+def parts_of(batches: Iterator[pa.RecordBatch], text: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut into parts whose texts (column `text`) have about `size` bytes, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)) // size
+        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def bounded_sample(rows: DataFrame, key: str, bound: int) -> DataFrame:
     """Rows whose hash of key falls under a share that leaves about `bound` of them; all rows where there are fewer."""
     total = rows.count()

@@ -19,20 +19,24 @@ from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
-from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, rows_of, small_batches
+from .common import materialise, parts_of
 
 CAPACITY = 2048
+PART_ROWS = 200_000
 _CACHE_LIMIT = 800_000
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Lower-case letters whose runs are one unit for the tokenizer, and marks that are never part of such a unit.
+_LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
+_MARKS = ".,;:!?()[]{}*#%&$/"
+_PLAIN = re.compile(f"[{_LETTERS}{_LETTERS.replace('ß', '').upper()}]+").fullmatch
 
 
 class WordEncoder:
@@ -41,62 +45,88 @@ class WordEncoder:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        written = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {ord(c): written.pre_tokenize_str(c)[0][0] for c in _LETTERS}
         self.known: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
-        self.marks = {c: self.whole(c) for c in ".,"}
+        self.tails: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """A full stop or comma after a letter or digit is a token of its own, and the tokenizer lower-cases: words that differ so share their ids."""
-        words, cores, marks = list(words), [], []
-        for word in words:
-            core, mark = word, b""
-            if word[-1] in self.marks and len(word) > 1 and word[-2].isalnum():
-                core, mark = word[:-1], self.marks[word[-1]]
-            cores.append(core.lower() if core.isascii() else core)
-            marks.append(mark)
-        listed = list(filterfalse(self.cores.__contains__, set(cores)))
-        for k in range(0, len(listed), 4096):
-            part = listed[k : k + 4096]
-            for core, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.cores[core] = array("I", found.ids).tobytes()
-        for word, core, mark in zip(words, cores, marks):
-            self.known[word] = self.cores[core] + mark if mark else self.cores[core]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        # a special token's string, or what only Python splits at, leaves a text whole
-        lists = [None if "<|" in t or _SEPARATORS.search(t) else t.split() for t in texts]
-        words = set().union(*filter(None, lists))
-        fresh = set(filterfalse(self.known.__contains__, words))  # taking the keys off a set would walk all that are known
-        if len(self.known) + len(fresh) > _CACHE_LIMIT:
+    def core(self, core: str) -> bytes:
+        """Ids of a run of plain lower-case letters: one unit of the merges, which needs no other step of the tokenizer."""
+        ids = self.cores.get(core)
+        if ids is None:
+            ids = self.cores[core] = array("I", [t.id for t in self.model.tokenize(core if core.isascii() else core.translate(self.letters))]).tobytes()
+        return ids
+
+    def word(self, word: str) -> bytes:
+        """Punctuation behind letters is a token apart, and the tokenizer lower-cases: words that differ so share their ids."""
+        if word.isascii():
+            if word.isalpha():
+                return self.core(word.lower())
+            stem = word.rstrip(_MARKS)
+            plain = stem.isalpha()
+        else:
+            stem = word.rstrip(_MARKS)
+            plain = _PLAIN(stem)
+        if not plain:
+            return self.whole(word)
+        tail = word[len(stem) :]
+        mark = self.tails.get(tail)
+        if mark is None:
+            mark = self.tails[tail] = self.whole(tail)
+        return self.core(stem.lower()) + mark
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where each text's begin and the last ends. Null texts have none. Each different word of the batch is looked up once."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self.known) + len(words) > _CACHE_LIMIT:
             self.known.clear()
             self.cores.clear()
-            fresh = words
-        self.learn(fresh)
-        return [self.whole(t) if ws is None else b"".join(map(self.known.__getitem__, ws)) for t, ws in zip(texts, lists)]
+            self.tails.clear()
+        known, held = self.known, []
+        for word in words:
+            ids = known.get(word)
+            if ids is None:
+                ids = known[word] = self.word(word)
+            held.append(ids)
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        table = np.frombuffer(b"".join(held), "<u4")
+        codes = coded.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[codes])])
+        first = (np.cumsum(sizes) - sizes)[codes] - ends[:-1]
+        return table[np.repeat(first, sizes[codes]) + np.arange(ends[-1])], ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
 
 
 @cache
-def encoder_of(path: str) -> WordEncoder:
-    """One for each worker process, so that its words are kept from task to task."""
-    return WordEncoder(path)
+def encoder_of(tokenizer: str) -> WordEncoder:
+    """One for each worker process, so that its words are kept from task to task. A bare file name is looked up where the worker runs."""
+    if os.path.dirname(tokenizer):
+        return WordEncoder(tokenizer)
+    import public_tokenizers
 
+    return WordEncoder(public_tokenizers.path(tokenizer))
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: each document's ids, then id 0, cut only where longer than capacity."""
-    small_batches(docs.sparkSession)
+
+def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32: each document's ids, then id 0, cut only where longer than capacity. tokenizer: a path, or the name of a public tokenizer's file."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(tokenizer_path)
-        for ids, texts in rows_of(batches):
+        encoder = encoder_of(tokenizer)
+        for batch in parts_of(batches, 1):
             out = []
-            for doc_id, held in zip(ids, encoder.encode([t or "" for t in texts])):
-                held += b"\0\0\0\0"
+            ids, ends = encoder.encode(batch.column(1))
+            for doc_id, start, end in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                held = ids[start:end].tobytes() + b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(held), 4 * capacity)):
                     part = held[at : at + 4 * capacity]
                     out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -176,9 +206,14 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int = CAPACITY) -> lis
     return plan
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = 256) -> DataFrame:
-    """pieces with sequence_id and offset. The driver sees a count per length, and nothing that grows with the corpus."""
-    pieces = materialise(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")), "pieces")
+def pack(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS) -> DataFrame:
+    """pieces with sequence_id and offset. The driver sees a count per length, and nothing that grows with the corpus.
+
+    Ranks within a length are counted in parts of about part_rows, however many pieces have that length.
+    """
+    pieces = materialise(pieces, "pieces")
+    salts = max(16, pieces.count() // part_rows)
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     parts = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     parts = materialise(parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "piece-counts")

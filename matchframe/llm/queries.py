@@ -38,9 +38,7 @@ def op5_disclosure_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+    return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), "word_bpe_49k.json"))
 
 
 def op7_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,12 +8,15 @@ distance. A cell with more fingerprints than `cell_limit` is refined to segments
 fingerprint, at most 65 fingerprints a cell, and any two that share one are within 2 bits. So no group grows
 with the data, and no cell gives pairs by the square of its size: each gives a spanning forest of its links.
 
-The training set's near copies (`keep_one`) are those of 5-word Jaccard similarity 0.8 or more, found exactly: such
-sets share a shingle among the first fifth of each in one order of all shingles; pairs that meet are verified by
-their whole sets.
+The training set's near copies (`keep_one`) are those of 5-word Jaccard similarity 0.8 or more. Their fingerprints are
+some 10 bits apart, and 16 at times: at that radius the grid rules nothing out, so candidates come from a prefix
+join: such sets share a shingle among the first fifth of each in one order of all shingles. As in the grid, a
+popcount is the lower bound: that of two parity bitmaps' difference never exceeds the sets' difference. What it
+does not rule out is verified by the whole sets.
 
 Null text counts as empty; empty texts have fingerprint zero and link like any other. Rows with one id twice
-stay separate rows and get the same component. An empty table gives an empty result.
+stay separate rows of one node of the graph and get the same component. A null id gets its fingerprint's component.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,11 +26,12 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, materialise, rows_of, small_batches
+from .common import bounded_sample, materialise, parts_of
 
 SEGMENTS, SEGMENT_BITS = 16, 4
 RADIUS = 2
@@ -35,6 +39,7 @@ RADIUS = 2
 WIDTH, SAMPLE, COMMON = 5, 20_000, 0.001
 BROADCAST_ROWS = 1_000_000
 _CHUNK = 1 << 16
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint_of(text: str | None, width: int = 3) -> int:
@@ -54,12 +59,11 @@ def fingerprint_of(text: str | None, width: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """doc_id, fp (the fingerprint's 64 bits as a long)."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in rows_of(batches):
-            fps = np.fromiter((fingerprint_of(t, width) for t in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps)], ["doc_id", "fp"])
+        for batch in parts_of(batches, 1):
+            fps = np.fromiter((fingerprint_of(t, width) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, fp long")
 
@@ -183,57 +187,112 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = materialise(fingerprints(docs, id_col, text_col, width), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null")
     distinct = materialise(distinct, "distinct-fingerprints")
-    joined = components(links(distinct, cell_limit))
+    # rows of one id are one document: their fingerprints are linked
+    several = prints.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("doc_id")
+    held = prints.join(several, "doc_id").join(distinct, "fp").groupBy("doc_id", "rep").agg(F.lit(1)).select("doc_id", "rep")
+    owned = held.where("rep <> doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    joined = components(links(distinct, cell_limit).union(owned))
+    # a rep is the smallest id of its fingerprint, so the smallest rep or id of a component is its smallest id
     named = distinct.join(joined, distinct.rep == joined.u, "left").select(F.col("fp").alias("fp2"), F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, prints.fp == named.fp2, "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """Sorted hashes of the text's different word shingles; a shorter text is one shingle, an empty one has none."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    shingles = map(b" ".join, zip(*(words[k:] for k in range(width)))) if len(words) >= width else [b" ".join(words)]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64))
+def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
+    """Sorted 63-bit hashes of each text's different word shingles; a shorter text is one shingle, an empty one has none.
+
+    Each different word of the batch is hashed once, and windows are combined from the words' hashes.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
+    coded = split.flatten().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    words = np.fromiter(map(xxhash.xxh64_intdigest, names, repeat(42)), np.uint64, len(names))[coded.indices.to_numpy()]
+    runs = np.zeros(len(words), np.uint64)
+    for k in range(width):
+        ends = max(len(words) - k, 0)
+        runs[:ends] = runs[:ends] * _ODD + words[k:]
+    runs = _mixed(runs)
+    blank = pc.equal(pc.list_value_length(split), 1).to_numpy(zero_copy_only=False)
+    out, offsets = [], split.offsets.to_numpy() - split.offsets[0].as_py()
+    for at, end, single in zip(offsets[:-1].tolist(), offsets[1:].tolist(), blank.tolist()):
+        if end == at or single and not names[coded.indices[at].as_py()]:
+            out.append(np.empty(0, np.uint64))
+        elif end - at >= width:
+            out.append(np.unique(runs[at : end - width + 1]))
+        else:
+            out.append(np.array([xxhash.xxh64_intdigest(words[at:end].tobytes()) >> 1], np.uint64))
+    return out
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Spreads the combined hashes over 63 bits, so that low bits and order are as good as random."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (h ^ (h >> np.uint64(31))) >> np.uint64(1)
 
 
 def _key(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes()) - (1 << 63)
 
 
+def parity_map(hashes: np.ndarray) -> bytes:
+    """For each place of a bitmap twice as large as the set, whether an odd number of its hashes fall there."""
+    size = max(512, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else 512
+    return np.packbits((np.bincount((hashes % np.uint64(size)).astype(np.int64), minlength=size) & 1).astype(bool)).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """The popcount of two parity maps' exclusive or: never more than the sets' symmetric difference. A larger map folds onto the smaller."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def common_shingles(docs: DataFrame) -> np.ndarray:
-    """Hashes of shingles in more than COMMON of a bounded sample of documents, sorted; their number is bounded by the words of a document over COMMON."""
+    """Hashes of shingles in more than COMMON of a bounded sample of documents, sorted; their number is bounded by the words of a document over COMMON.
+
+    They come last in the order of all shingles; any order finds every pair, so the sample decides costs alone.
+    """
     sample = bounded_sample(docs.select("doc_id", "text"), "doc_id", SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in rows_of(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t) for t in texts]).view(np.int64))], ["h"])
+        for batch in parts_of(batches, 1):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(batch.column(1))).view(np.int64))], ["h"])
 
     counted = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON * SAMPLE)
     return np.sort(np.array([r.h for r in counted.select("h").collect()], np.int64).view(np.uint64))
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the set of shingles), n (its size), prefix: the first shingles in one order of all shingles, common ones last.
+    """doc_id, th (hash of the text), key (of the set of shingles), n (its size), bits (its parity map), prefix: the first shingles in one order of all shingles, common ones last.
 
     Two sets of Jaccard similarity 0.8 or more share a shingle within these prefixes, whatever the order.
     """
     common = common_shingles(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in rows_of(batches):
-            sets = [shingle_set(t) for t in texts]
-            heads = []
+        for batch in parts_of(batches, 2):
+            sets, heads = shingle_sets(batch.column(2)), []
             for s in sets:
-                last = np.isin(s, common)
-                heads.append(np.concatenate([s[~last], s[last]])[: len(s) - (4 * len(s) + 4) // 5 + 1].view(np.int64))
+                size = len(s) - (4 * len(s) + 4) // 5 + 1
+                if len(common):
+                    last = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
+                    s = np.concatenate([s[~last], s[last]])
+                heads.append(s[:size].view(np.int64))
             ends = np.cumsum([0] + [len(h) for h in heads]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads)))],
-                ["doc_id", "key", "n", "prefix"],
+                [batch.column(0), batch.column(1), pa.array([_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(parity_map, sets), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads)))],
+                ["doc_id", "th", "key", "n", "bits", "prefix"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, key long, n long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), _text_hash(), "text").mapInArrow(run, "doc_id long, th long, key long, n long, bits binary, prefix array<long>")
+
+
+def _text_hash() -> Column:
+    """Tells rows of one id apart by their texts; a null text has a hash of its own."""
+    return F.xxhash64("text", F.col("text").isNull())
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -281,71 +340,72 @@ def _meeting(lags: range | None):
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, distinct: DataFrame, prints: DataFrame) -> DataFrame:
-    """The pairs of keys whose sets have Jaccard similarity 0.8 or more, by the sets themselves.
+def _able(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that their parity maps do not rule out: sets of similarity 0.8 or more differ in a ninth of their shingles at most."""
+    for batch in batches:
+        u, v, un, vn, ub, vb = batch.columns
+        most = un.to_numpy() + vn.to_numpy()
+        keep = [9 * least_difference(a, b) <= m for a, b, m in zip(ub.to_pylist(), vb.to_pylist(), most.tolist())]
+        yield pa.RecordBatch.from_arrays([u, v], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
 
-    Of the pairs that meet most are ruled out by their prefixes: what sets share beyond the shingles common to both
-    prefixes lies behind the prefix that ends first.
-    """
-    pairs = materialise(pairs.distinct(), "met")
-    met = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
-    heads = materialise(prints.select("key", "n", "prefix").join(met, "key", "left_semi").dropDuplicates(["key"]), "heads")
-    side = lambda name: heads.select(F.col("key").alias(name), F.struct("n", "prefix").alias(f"{name}h"))
-    shared = F.size(F.array_intersect("uh.prefix", "vh.prefix"))
-    beyond = F.greatest(F.col("uh.n") - F.size("uh.prefix"), F.col("vh.n") - F.size("vh.prefix"))
-    able = (9 * (shared + beyond) >= 4 * (F.col("uh.n") + F.col("vh.n"))) & (5 * F.least("uh.n", "vh.n") >= 4 * F.greatest("uh.n", "vh.n"))
-    pairs = materialise(pairs.join(side("u"), "u").join(side("v"), "v").where(able).select("u", "v"), "pairs")
+def _verified(docs: DataFrame, pairs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """The pairs of keys whose sets have Jaccard similarity 0.8 or more, by the sets themselves. Most others are ruled out by their parity maps before any set is moved."""
+    side = lambda name: distinct.select(F.col("key").alias(name), F.col("n").alias(f"{name}n"), F.col("bits").alias(f"{name}b"))
+    met = pairs.distinct().join(side("u"), "u").join(side("v"), "v").select("u", "v", "un", "vn", "ub", "vb")
+    pairs = materialise(met.mapInArrow(_able, "u long, v long"), "pairs")
     keys = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
-    wanted = materialise(distinct.join(keys, "key", "left_semi").select("doc_id").distinct(), "wanted")
+    wanted = materialise(distinct.join(keys, "key", "left_semi").select("doc_id", "th"), "wanted")
     if wanted.count() <= BROADCAST_ROWS:  # of checked size
         wanted = F.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (texts,) in rows_of(batches):
-            sets = [shingle_set(t) for t in texts]
+        for batch in parts_of(batches, 0):
+            sets = shingle_sets(batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["key", "hashes"])
 
-    texts = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(wanted, "doc_id", "left_semi").select("text")
+    texts = docs.select(F.col("doc_id").cast("long"), _text_hash().alias("th"), "text").join(wanted, ["doc_id", "th"], "left_semi").select("text")
     sets = materialise(texts.mapInArrow(run, "key long, hashes array<long>").dropDuplicates(["key"]), "sets")
     both = pairs.join(sets.select(F.col("key").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("hashes").alias("b")), "v")
     return both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
 
 
 def similar(docs: DataFrame) -> DataFrame:
-    """doc_id, component_id: groups of texts linked by 5-word Jaccard similarity of 0.8 or more, named by their smallest doc_id; no row for null ids.
+    """doc_id, th, kept: groups of texts linked by 5-word Jaccard similarity of 0.8 or more; kept where the row has the group's smallest (doc_id, key). No row for null ids.
 
     First neighbours by size are compared for each shared shingle, then all pairs that are not yet in one group, so
     that a large group of near copies does not give pairs by the square of its size.
     """
-    small_batches(docs.sparkSession)
     prints = materialise(prefixes(docs).where("doc_id is not null"), "prefixes")
-    distinct = materialise(prints.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "distinct-sets")
-    copies = prints.select("doc_id", "key").join(distinct.withColumnRenamed("doc_id", "least"), "key").where("doc_id <> least").select("doc_id", "key").distinct()
+    distinct = prints.groupBy("key").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    distinct = materialise(distinct.select("key", "first.*", "n", "bits"), "distinct-sets")
+    firsts = distinct.select("key", F.col("doc_id").alias("d1"), F.col("th").alias("t1"))
+    copies = prints.select("doc_id", "th", "key").join(firsts, "key").where("doc_id <> d1 or th <> t1").select("doc_id", "th").distinct()
     copies = materialise(copies, "exact-copies")
     if copies.count() <= BROADCAST_ROWS:  # of checked size; beyond it the prefixes are shuffled
         copies = F.broadcast(copies)
-    once = prints.join(copies, ["doc_id", "key"], "left_anti").select("n", "key", F.explode_outer("prefix").alias("h")).where("h is not null")
+    once = prints.join(copies, ["doc_id", "th"], "left_anti").select("n", "key", F.explode_outer("prefix").alias("h")).where("h is not null")
     by_shingle = lambda rows: rows.repartition("h").sortWithinPartitions("h", "n", "key")
     shared = materialise(by_shingle(once.select("h", "n", "key")).mapInArrow(_shared, "h long, n long, key long"), "shared-shingles")
     near = by_shingle(shared.withColumn("label", F.col("key"))).mapInArrow(_meeting(range(1, 2)), "u long, v long")
-    first = materialise(_verified(docs, near, distinct, prints), "links")
+    first = materialise(_verified(docs, near, distinct), "links")
     named = components(first).select(F.col("u").alias("key"), "component")
     labelled = shared.join(named, "key", "left").select("h", "n", "key", F.coalesce("component", "key").alias("label"))
     rest = by_shingle(labelled).mapInArrow(_meeting(None), "u long, v long")
-    named = components(first.union(_verified(docs, rest, distinct, prints))).select(F.col("u").alias("key"), "component")
+    named = components(first.union(_verified(docs, rest, distinct))).select(F.col("u").alias("key"), "component")
     groups = distinct.join(named, "key", "left").select("key", "doc_id", F.coalesce("component", "key").alias("component"))
-    smallest = groups.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    groups = groups.select("key", "component").join(smallest, "component").select("key", "component_id")
-    return prints.select("doc_id", "key").join(groups, "key").select("doc_id", "component_id")
+    smallest = groups.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("kept"))
+    groups = groups.join(smallest, "component").select("key", "kept")
+    return prints.select("doc_id", "th", "key").join(groups, "key").select("doc_id", "th", (F.struct("doc_id", "key") == F.col("kept")).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Documents without those that have a smaller doc_id in their group of near copies; columns and order of columns stay.
+    """Documents without those of a larger (doc_id, text) in their group of near copies; columns and order of columns stay.
 
-    Rows that share the group's smallest doc_id are one document and all stay; a null doc_id is never dropped.
+    The decision is one of rows: a text that stands under an id of another group's copy stays. Repeated rows are one
+    document and stay or go together; a null doc_id is never dropped.
     """
-    marked = similar(docs)
-    gone = materialise(marked.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    if gone.count() <= BROADCAST_ROWS:  # of checked size; beyond it the texts are shuffled
-        gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = materialise(similar(docs).where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct(), "copies")
+    few = gone.count() <= BROADCAST_ROWS  # of checked size; beyond it the texts are shuffled
+    row = (docs["doc_id"].cast("long") == F.col("_gone_id")) & (F.xxhash64(docs["text"], docs["text"].isNull()) == F.col("_gone_th"))
+    return docs.join(F.broadcast(gone) if few else gone, row, "left_anti")

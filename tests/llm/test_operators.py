@@ -141,6 +141,38 @@ def test_simhash_odd_rows(spark, odd):
     assert simhash_dedup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_rows_of_one_id(spark):
+    """A text under an id whose other text is a copy stays; for the fingerprints rows of one id are one node."""
+    a, b = "one two three four five six seven eight", "quite another text that has nothing to do with it"
+    docs = documents(spark, [(3, a), (5, a), (5, b), (9, b), (None, a)])
+    assert sorted((r.doc_id or 0, r.text) for r in simhash_dedup.keep_one(docs).collect()) == [(0, a), (3, a), (5, b)]
+    assert {r.component_id for r in simhash_dedup.near_duplicates(docs).collect()} == {3}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aB \t\x0b\x1cé\u00a0"), max_size=40) | st.none(), min_size=1, max_size=6), st.integers(1, 5))
+def test_shingle_sets(texts, width):
+    got = [len(s) for s in simhash_dedup.shingle_sets(pa.array(texts, pa.string()), width)]
+    low = [words(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    sets = [{tuple(w[i : i + width]) for i in range(len(w) - width + 1)} or ({tuple(w)} if w else set()) for w in low]
+    assert got == [len(s) for s in sets]
+    hashes = simhash_dedup.shingle_sets(pa.array(texts, pa.string()), width)
+    for a, x in zip(sets, hashes):
+        for b, y in zip(sets, hashes):
+            assert len(a & b) == len(np.intersect1d(x, y))
+            assert simhash_dedup.least_difference(simhash_dedup.parity_map(x), simhash_dedup.parity_map(y)) <= len(a ^ b)
+
+
+def test_parity_maps_of_different_sizes():
+    draw = np.random.default_rng(1)
+    for n in (200, 300, 600, 3000):
+        x = np.unique(draw.integers(0, 1 << 63, n, np.uint64))
+        for m in (n // 5, n // 9, n):
+            y = np.union1d(x[m:], draw.integers(0, 1 << 63, n // 3, np.uint64))
+            bound, true = simhash_dedup.least_difference(simhash_dedup.parity_map(x), simhash_dedup.parity_map(y)), len(np.setxor1d(x, y))
+            assert true / 3 < bound <= true
+
+
 # Packing
 
 

@@ -6,11 +6,14 @@ different windows is a candidate. For candidates the values behind the placehold
 alignment an item's value must stand for one value of the document throughout (0.8 of the slots at least), so
 that the same question with other numbers or names is caught, and chance matches of templates are not.
 
-The benchmark's windows are broadcast only up to BROADCAST_ROWS of them; beyond that the join is shuffled. Windows
-with fewer than two literal tokens are left out. Items without a window (short ones, arithmetic) are looked for
-token by token in lower case: as a whole up to five tokens, beyond that by windows of five. An item of a single
-token is found only where it is the whole text, as it would stand in any. Null texts count as empty. Repeated rows and ids give one result per id and item. Empty tables give
-an empty result.
+Beside the templates each item is looked for token by token in lower case, so that copies in capitals and items
+without template windows (short ones, arithmetic) are found: as a whole up to five tokens, beyond that by windows
+of five. An item of a single token is found only where it is the whole text, as it would stand in any.
+
+The benchmark's windows are broadcast only up to a number of rows; beyond that the join is shuffled. Template
+windows with fewer than two literal tokens are left out. Null texts count as empty. Repeated rows and ids give one
+result per id and item. Documents and items without an id cannot be named and give no result, so they stay. Empty
+tables give an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 WIDTH, SHARE = 5, 0.8
-BROADCAST_ROWS = 1_000_000
+#: Rows of one or two numbers, and rows with a window's tokens, that may be broadcast.
+BROADCAST_ROWS, BROADCAST_WINDOWS = 1_000_000, 50_000
 #: Placeholders, and words read as units after a number.
 NUMBER, NAME, UNIT = "<num>", "<name>", "<unit>"
 UNITS = (
@@ -30,10 +34,12 @@ UNITS = (
     "cent cents dollar dollars euro euros percent degree degrees meter meters metre metres kilometer kilometers watt watts volt volts"
 ).split()
 TOKEN = r"\p{L}[\p{L}\p{M}]*|[0-9]+(?:[.,][0-9]+)*"
+#: Capitalised words in a row are one name, so that a name of two words may stand for one of one word.
+NAMES = r"\p{Lu}[\p{L}\p{M}]*(?: \p{Lu}[\p{L}\p{M}]*)+"
 
 
-def tokens_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+def tokens_of(text: Column, pattern: str = TOKEN) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
 
 
 def canonical(tokens: Column) -> Column:
@@ -41,7 +47,7 @@ def canonical(tokens: Column) -> Column:
     digit = lambda t: F.substring(t, 1, 1).between("0", "9")
     return F.transform(
         tokens,
-        lambda t, i: F.when(digit(t), NUMBER).when(t == F.lower(t), F.when((F.length(t) < 12) & t.isin(UNITS) & F.coalesce(digit(F.get(tokens, i - 1)), F.lit(False)), UNIT).otherwise(t)).when((F.length(t) > 1) & (F.initcap(t) == t), NAME).otherwise(F.lower(t)),
+        lambda t, i: F.when(digit(t), NUMBER).when(t == F.lower(t), F.when((F.length(t) < 12) & t.isin(UNITS) & F.coalesce(digit(F.get(tokens, i - 1)), F.lit(False)), UNIT).otherwise(t)).when((F.instr(t, " ") > 0) | (F.length(t) > 1) & (F.initcap(t) == t), NAME).otherwise(F.lower(t)),
     )
 
 
@@ -54,55 +60,57 @@ def _starts(template: Column) -> Column:
 
 
 def templated(rows: DataFrame, key: str, text_col: str) -> DataFrame:
-    out = rows.select(F.col(key).cast("long").alias(key), tokens_of(F.col(text_col)).alias("raw"))
+    out = rows.select(F.col(key).cast("long").alias(key), tokens_of(F.col(text_col), f"{NAMES}|{TOKEN}").alias("raw"))
     return out.withColumn("template", canonical(F.col("raw")))
 
 
-def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """item_id, at, h, values, template: each window of each item with two literal tokens or more."""
-    rows = materialise(templated(benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")), "item_id", "text"), "benchmark-templates")
+    rows = materialise(templated(benchmark, "item_id", "text"), "benchmark-templates")
     each = rows.select("item_id", F.explode_outer(F.transform(_starts(F.col("template")), lambda i: F.struct(i.alias("at"), _hash(F.col("template"), i).alias("h"), F.slice("raw", i + 1, F.lit(WIDTH)).alias("values"), F.slice("template", i + 1, F.lit(WIDTH)).alias("types")))).alias("w"))
     literal = F.size(F.filter("w.types", lambda t: ~t.isin(NUMBER, NAME, UNIT))) >= 2
     return each.where("w is not null").where(literal).select("item_id", "w.*")
 
 
-def _literal_windows(raw: Column, widths: list[int]) -> Column:
+def _literal_windows(low: Column, widths: list[int]) -> Column:
     """Hashes of the runs of `widths` lower-case tokens; a run of one must be the whole text."""
-    low = F.transform(raw, F.lower)
-    runs = lambda w: F.when(F.size(raw) >= w if w > 1 else F.size(raw) == 1, F.transform(F.sequence(F.lit(0), F.size(raw) - w), lambda i: F.xxhash64(F.lit(w), F.array_join(F.slice(low, i + 1, F.lit(w)), " ")))).otherwise(F.array().cast("array<bigint>"))
+
+    def runs(w: int) -> Column:
+        able = F.size(low) >= w if w > 1 else F.size(low) == 1
+        return F.when(able, F.transform(F.sequence(F.lit(0), F.size(low) - w), lambda i: F.xxhash64(F.lit(w), *[F.get(low, i + k) for k in range(w)]))).otherwise(F.array().cast("array<bigint>"))
+
     return F.concat(*[runs(w) for w in widths])
 
 
-def literal_matches(texts: DataFrame, benchmark: DataFrame, bench: DataFrame, item_col: str = "item_id") -> DataFrame | None:
-    """doc_id, item_id, windows, item_windows of the items that have no template window; None where all have one."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), tokens_of(F.col("text")).alias("raw"))
-    items = materialise(items.where(F.size("raw") > 0).join(bench.select("item_id").distinct(), "item_id", "left_anti"), "items-without-windows")
-    width = F.least(F.size("raw"), F.lit(WIDTH))
-    widths = sorted(r.w for r in items.select(width.alias("w")).distinct().collect())  # WIDTH values at most
-    if not widths:
-        return None
-    each = F.coalesce(*[F.when(width == w, _literal_windows(F.col("raw"), [w])) for w in widths])
+def _low(rows: DataFrame, key: str) -> DataFrame:
+    return rows.select(F.col(key).cast("long").alias(key), tokens_of(F.lower("text")).alias("low"))
+
+
+def literal_matches(texts: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, windows, item_windows: items found token by token in lower case, as a whole up to WIDTH tokens, beyond that by windows."""
+    items = materialise(_low(benchmark, "item_id").where(F.size("low") > 0).distinct(), "literal-items")
+    width = F.least(F.size("low"), F.lit(WIDTH))
+    widths = sorted(r.w for r in items.select(width.alias("w")).distinct().collect()) or [WIDTH]  # WIDTH values at most
+    each = F.coalesce(*[F.when(width == w, _literal_windows(F.col("low"), [w])) for w in widths])
     held = materialise(items.select("item_id", F.explode_outer(each).alias("h")).distinct(), "literal-windows")
     sizes = held.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
     hashes = held.select("h").distinct()
     if held.count() <= BROADCAST_ROWS:  # of checked size
         hashes, held = F.broadcast(hashes), F.broadcast(held)
-    rows = texts.select("doc_id", tokens_of(F.col("text")).alias("raw")).select("doc_id", _literal_windows(F.col("raw"), widths).alias("hs"))
+    rows = _low(texts, "doc_id").select("doc_id", _literal_windows(F.col("low"), widths).alias("hs"))
     met = rows.select("doc_id", F.explode_outer("hs").alias("h")).join(hashes, "h", "left_semi").distinct()
     cover = met.join(held, "h").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("windows")).join(sizes, "item_id")
     return cover.where(F.col("windows") >= SHARE * F.col("item_windows")).select("doc_id", "item_id", "windows", "item_windows")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """doc_id, item_id, windows, item_windows, coverage, slots, agreement, verbatim: the matches that hold."""
-    bench = materialise(benchmark_windows(benchmark, item_col), "benchmark-windows")
+def template_matches(texts: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, windows, item_windows, slots, agreement, verbatim: items whose template windows are covered by slots that agree."""
+    bench = materialise(benchmark_windows(benchmark).distinct(), "benchmark-windows")
     sizes = bench.groupBy("item_id").agg(F.count_distinct("h").alias("item_windows"))
-    hashes = materialise(bench.select("h").distinct(), "benchmark-hashes")
-    held = bench.select("h", "item_id").distinct()
-    small = hashes.count() <= BROADCAST_ROWS
-    if small:  # of checked size
+    held = materialise(bench.select("h", "item_id").distinct(), "benchmark-hashes")
+    hashes, n_windows = held.select("h").distinct(), bench.count()
+    if n_windows <= BROADCAST_ROWS:  # of checked size: two numbers a row
         hashes, held = F.broadcast(hashes), F.broadcast(held)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     template = F.col("template")
     rows = templated(texts, "doc_id", "text").select("doc_id", F.transform(_starts(template), lambda i: _hash(template, i)).alias("hs"))
     # the outer form, as a filter inferred from the plain one would go below the templates and work them out for each window
@@ -115,24 +123,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         ids = F.broadcast(ids)
     rows = materialise(templated(texts.join(ids, "doc_id", "left_semi"), "doc_id", "text"), "candidate-templates")
     rows = rows.select("doc_id", F.transform(_starts(template), lambda i: F.struct(i.alias("d_at"), _hash(template, i).alias("h"), F.slice("raw", i + 1, F.lit(WIDTH)).alias("d_values"))).alias("ws"))
-    pairs = rows.select("doc_id", F.explode_outer("ws").alias("w")).select("doc_id", "w.*").join(F.broadcast(bench) if small else bench, "h").join(likely.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
+    windows = F.broadcast(bench) if n_windows <= BROADCAST_WINDOWS else bench  # of checked size: some 500 bytes a row
+    pairs = rows.select("doc_id", F.explode_outer("ws").alias("w")).select("doc_id", "w.*").join(windows, "h").join(likely.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
     slot = F.explode(F.arrays_zip("types", "values", "d_values"))
     slots = pairs.select("doc_id", "item_id", (F.col("d_at") - F.col("at")).alias("shift"), slot.alias("s")).where(F.col("s.types").isin(NUMBER, NAME, UNIT))
     seen = slots.groupBy("doc_id", "item_id", "shift", F.col("s.values").alias("mine"), F.col("s.d_values").alias("theirs")).agg(F.count(F.lit(1)).alias("n"))
     kept = seen.groupBy("doc_id", "item_id", "shift", "mine").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum(F.when(F.col("mine") == F.col("theirs"), F.col("n")).otherwise(0)).alias("equal"))
     agreed = kept.groupBy("doc_id", "item_id").agg(F.sum("n").alias("slots"), (F.sum("most") / F.sum("n")).alias("agreement"), (F.sum("equal") == F.sum("n")).alias("verbatim"))
-    out = likely.join(agreed, ["doc_id", "item_id"], "left")
-    out = out.where(F.coalesce(F.col("agreement"), F.lit(1.0)) >= SHARE).select(
-        "doc_id", "item_id", "windows", "item_windows", (F.col("windows") / F.col("item_windows")).alias("coverage"),
-        F.coalesce("slots", F.lit(0)).alias("slots"), F.coalesce("agreement", F.lit(1.0)).alias("agreement"), F.coalesce("verbatim", F.lit(True)).alias("verbatim"),
-    )
-    plain = literal_matches(texts, benchmark, bench, item_col)
-    if plain is None:
-        return out
+    out = likely.join(agreed, ["doc_id", "item_id"], "left").where(F.coalesce(F.col("agreement"), F.lit(1.0)) >= SHARE)
+    return out.select("doc_id", "item_id", "windows", "item_windows", F.coalesce("slots", F.lit(0)).alias("slots"), F.coalesce("agreement", F.lit(1.0)).alias("agreement"), F.coalesce("verbatim", F.lit(True)).alias("verbatim"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """doc_id, item_id, windows, item_windows, coverage, slots, agreement, verbatim: the matches that hold, by templates or, where those do not, by the tokens themselves."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col("text"))
+    found = materialise(template_matches(texts, items), "template-matches")
     share = F.col("windows") / F.col("item_windows")
-    return out.union(plain.select(
-        "doc_id", "item_id", "windows", "item_windows", share.alias("coverage"), F.lit(0).cast("long").alias("slots"), F.lit(1.0).alias("agreement"), (share == 1).alias("verbatim"),
-    ))
+    plain = literal_matches(texts, items).join(found.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti")
+    plain = plain.select("doc_id", "item_id", "windows", "item_windows", F.lit(0).cast("long").alias("slots"), F.lit(1.0).alias("agreement"), (share == 1).alias("verbatim"))
+    return found.unionByName(plain).select("doc_id", "item_id", "windows", "item_windows", share.alias("coverage"), "slots", "agreement", "verbatim")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -375,7 +375,7 @@ def test_disclosing_terms_against_brute_force(spark, small):
     for k in range(150):
         who = rng.randrange(10)
         middle = f"{names[who]} writes from box{who % 4}@host{who % 3}.example now and {names[who]} again" if k % 3 else f"{rng.choice(names[:4])} says little today"
-        rows.append((k if k % 20 else None, f"some words before that go on for long enough to be out of reach of what follows below, {middle} and ever on"))
+        rows.append((k if k % 20 else None, f"some {k} words before that go on for long enough to be out of reach of what follows below, {middle} and ever on"))
     rows += rows[:9]
     rows = [(k, t, "te", "di", 1, "dt", "th", "sp", 0.1) for k, t in rows]
     docs = spark.createDataFrame(rows, "doc_id long, text string, terms string, did string, n_chars int, dth string, _th string, _spans string, score double")
@@ -446,14 +446,16 @@ def test_reparameterised_questions(spark):
     item = "If Alice walks 12 km every day and then rests for 3 hours how many km has she walked after 5 days of this routine"
     texts = {
         1: f"intro words here {item} closing words", 2: item.replace("Alice", "Robert").replace("12", "40").replace(" 3 ", " 9 ").replace(" 5 ", " 8 "), 3: "nothing to do with it, just seven plain words and more",
-        4: item.replace("walks", "swims").replace("rests", "sleeps").replace("routine", "week").replace("walked", "gone").replace("every", "each"), 5: None, 6: "", 7: item.upper(),
+        4: item.replace("walks", "swims").replace("rests", "sleeps").replace("routine", "week").replace("walked", "gone").replace("every", "each"), 5: None, 6: "", 7: item.upper(), 8: f"So {item.lower()}", 9: item.replace("Alice", "Robert van Winter".replace("van ", "")).replace("12", "31"),
     }
     bench = spark.createDataFrame([(0, item), (1, None), (2, "too short"), (3, item.replace("12", "13"))], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(documents(spark, list(texts.items())), bench).collect()}
-    assert set(got) == {(1, 0), (1, 3), (2, 0), (2, 3)}
+    # copies in capitals or without any are found by their tokens; another number near the start leaves 17 of 21 windows
+    assert set(got) == {(d, i) for d in (1, 2, 7, 8, 9) for i in (0, 3)}
+    assert got[7, 0].verbatim and got[8, 0].verbatim and not got[8, 3].verbatim and not got[9, 0].verbatim
     assert got[1, 0].verbatim and not got[2, 0].verbatim and not got[1, 3].verbatim and got[2, 0].coverage == 1
     kept = decontam.drop_contaminated(documents(spark, list(texts.items())), bench)
-    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6, 7]
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6]
     assert decontam.contaminated(documents(spark, []), bench).count() == 0 and decontam.contaminated(kept, bench.limit(0)).count() == 0
 
 

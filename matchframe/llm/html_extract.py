@@ -1,11 +1,15 @@
 """Main text of web pages by tree scoring.
 
 Each paragraph gives points to its ancestors: one, one more per comma and per hundred characters (three at most);
-the parent gets all of them, the grandparent half, further ones a third of their distance's share. A container's
-points are discounted by the share of its text that lies in links. The best container is taken, with those of its
-siblings that have enough points of their own or read like headings and paragraphs; where it lies in an article
-or main element, that element is the container. Menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments are left out wherever they stand.
+the parent gets all of them, the grandparent half, further ones a third of their distance's share. The nearest
+article or main element gets them whole, and a tenth more, and the distance counts anew from there. A container's
+points are discounted by the share of its text that lies in links. The container with the best score is taken, with
+those of its siblings that are headings or more text than links, or, where it is an article, the other articles.
+
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out wherever
+they stand: by element, role or hidden state, and by the first or last part of a class or id. As names can mislead
+(`sidebar-right` for a layout), an element that holds most of the points stays where its going would leave the page
+without paragraphs.
 
 Null html gives an empty text. Rows are independent: repeated rows and repeated urls stay. An empty table gives
 an empty result.
@@ -14,26 +18,31 @@ an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of, small_batches
+from .common import parts_of, rows_of
 
 #: Element names and class words, by their part in the method.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("head title script style noscript template svg math canvas iframe object nav header footer aside form button select option textarea input dialog menu".split())
+DROPPED = frozenset("head title script style noscript template iframe nav header footer aside form select option textarea input dialog menu".split())
 DROPPED_BLOCKS = frozenset("nav header footer aside form dialog menu".split())
 BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ARTICLES = frozenset(("article", "main"))
+#: The share of links under which an element is read as text.
+READS = 0.25
 CLOSES_ITEM = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side-bar|aside|widget\w*|menu|nav|navbar|navigation|breadcrumbs?|cookies?|consent|notice|gdpr|alert|newsletter|subscribe|signup|popup|modal|overlay|share|sharing|social|related|recommended|footer|masthead|toolbar|pagination|pager|comments?|commentlist|replies|reply|respond|disqus|login|search|skip-link)(?:$|[\s_-])",
+    r"(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|aside|widget\w*|menu|nav|navbar|navigation|breadcrumbs?|cookies?|consent|notice|gdpr|alert|newsletter|subscribe|signup|popup|modal|overlay|share|sharing|social|related|recommended|footer|masthead|toolbar|pagination|pager|comments?|commentlist|replies|reply|respond|disqus|login|search)",
     re.I,
 )
+#: Words before a noise word that make it a flag of what holds it.
+FLAGS = frozenset("has no with without show hide is not".split())
 SITE_HEADER = re.compile(r"^(?:site-|page-|global-|main-|top-)?header$", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -45,15 +54,24 @@ class Node:
         self.tag, self.parent, self.children, self.points = tag, parent, [], 0.0
 
 
+def _named_noise(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether a class or id says so by its first or last part."""
+    if tag in ("body", "html", "article", "main"):
+        return any(n in ("class", "id") and re.search(r"(?:^|\s)comments?(?:$|[\s_-])", v or "", re.I) for n, v in attrs) and tag == "article"
+    for name, value in attrs:
+        for token in (value or "").split() if name in ("class", "id") else ():
+            parts = re.split("[-_]+", token.strip("-_").lower())
+            if NOISE.fullmatch(parts[0]) or parts[0] == "skip" or SITE_HEADER.match(token) or len(parts) > 1 and parts[0] not in FLAGS and NOISE.fullmatch(parts[-1]):
+                return True
+    return False
+
+
 def _noise(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     if tag in DROPPED:
         return True
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value or ""):
             return True
-        if name in ("class", "id") and value and tag not in ("body", "html", "article", "main"):
-            if NOISE.search(value) or any(SITE_HEADER.match(v) for v in value.split()):
-                return True
         if name == "role" and value in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu"):
             return True
     return False
@@ -66,6 +84,7 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("root", None)
         self.dropped: list[str] = []  # open elements inside noise, the outermost first
+        self.named: set[Node] = set()  # noise by name, judged when the page is read
 
     def _pop_to(self, tag: str, bounds: tuple[str, ...]) -> None:
         node = self.at
@@ -96,6 +115,8 @@ class Tree(HTMLParser):
         node = Node(tag, self.at)
         self.at.children.append(node)
         self.at = node
+        if _named_noise(tag, attrs):
+            self.named.add(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -127,8 +148,8 @@ class Tree(HTMLParser):
             self.at.children.append(data)
 
 
-def _blocks(node: Node) -> list[tuple[Node, str, int]]:
-    """(block element, text, characters in links) in page order, without empty ones."""
+def _blocks(node: Node, without: Collection[Node] = ()) -> list[tuple[Node, str, int]]:
+    """(block element, text, characters in links) in page order, without empty ones and what stands in the nodes of `without`."""
     out: list[tuple[Node, str, int]] = []
     pieces: list[str] = []
     linked = 0
@@ -153,6 +174,9 @@ def _blocks(node: Node) -> list[tuple[Node, str, int]]:
                 pieces.append(child)
                 if in_link:
                     linked += len(child.strip())
+            elif child in without:
+                if child.tag in BLOCKS:
+                    flush(owner)
             else:
                 stack.append((child, 0, child if child.tag in BLOCKS else owner, in_link or child.tag == "a"))
         elif at.tag in BLOCKS or at is node:
@@ -167,46 +191,74 @@ def main_text(html: str | None) -> str:
     tree.feed(html)
     tree.close()
     blocks = _blocks(tree.root)
+    without = _unwanted(blocks, tree.named)
+    if without:
+        blocks = _blocks(tree.root, without)
     if not blocks:
         return ""
+    best, score, link_share = _scored(blocks)
+    kept = [best]
+    if best.parent is not None:
+        near = [c for c in best.parent.children if isinstance(c, Node) and c in link_share]
+        if best.tag in ARTICLES:
+            kept = [c for c in near if c is best or c.tag == best.tag and link_share[c] < READS]
+        else:
+            kept = [c for c in near if c is best or c.tag in HEADINGS or link_share[c] < READS]
+    return "\n".join(text for n in kept for _, text, _ in _blocks(n, without))
+
+
+def points_of(owner: Node, text: str) -> float:
+    return 0.0 if owner.tag in HEADINGS else 1.0 + text.count(",") + min(len(text) // 100, 3)
+
+
+def _unwanted(blocks: list[tuple[Node, str, int]], named: set[Node]) -> set[Node]:
+    """Of the nodes that are noise by name, those that go."""
+    if not named:
+        return named
+    held, total, outside = dict.fromkeys(named, 0.0), 0.0, 0.0
+    for owner, text, _ in blocks:
+        points, free, node = points_of(owner, text), True, owner
+        while node is not None:
+            if node in held:
+                held[node] += points
+                free = False
+            node = node.parent
+        total += points
+        outside += points * free
+    return named if outside else {n for n in named if held[n] <= total / 2}
+
+
+def _scored(blocks: list[tuple[Node, str, int]]) -> tuple[Node, dict[Node, float], dict[Node, float]]:
+    """The best container, and the score and the share of links of every container."""
     sizes: dict[Node, list[int]] = {}
     for owner, text, linked in blocks:
-        points = 0.0 if owner.tag in HEADINGS else 1.0 + text.count(",") + min(len(text) // 100, 3)
-        node, level = (owner.parent or owner) if owner.tag in ("p", "pre", "td", "li", "dd", "blockquote") or owner.tag in HEADINGS else owner, 0
+        points = points_of(owner, text)
+        node = (owner.parent or owner) if owner.tag in ("p", "pre", "td", "li", "dd", "blockquote") or owner.tag in HEADINGS else owner
+        level, inside = 0, True
+        if node is not owner:
+            held = sizes.setdefault(owner, [0, 0])
+            held[0] += len(text)
+            held[1] += linked
         while node is not None:
-            node.points += points if level == 0 else points / 2 if level == 1 else points / (3 * level)
+            if inside and node.tag in ARTICLES:
+                node.points += 1.1 * points
+                level, inside = 0, False
+            else:
+                node.points += points if level == 0 else points / 2 if level == 1 else points / (3 * level)
             held = sizes.setdefault(node, [0, 0])
             held[0] += len(text)
             held[1] += linked
             node, level = node.parent, level + 1
-    score = lambda n: n.points * (1 - sizes[n][1] / max(sizes[n][0], 1))
-    best = max(sizes, key=lambda n: (score(n), -len(n.children)))
-    node = best
-    while node is not None and node.tag not in ("article", "main"):
-        node = node.parent
-    if node is not None:
-        kept = [node]
-    else:
-        kept = [best]
-        if best.parent is not None:
-            top = score(best)
-            near = [c for c in best.parent.children if isinstance(c, Node)]
-            kept = [c for c in near if c is best or c in sizes and score(c) >= max(10.0, 0.2 * top) or c.tag in HEADINGS or c.tag == "p" and _reads(c)]
-    return "\n".join(text for n in kept for _, text, _ in _blocks(n))
-
-
-def _reads(node: Node) -> bool:
-    """A paragraph that is more text than links."""
-    found = _blocks(node)
-    return sum(b[2] for b in found) < 0.25 * sum(len(b[1]) for b in found)
+    link_share = {n: linked / max(size, 1) for n, (size, linked) in sizes.items()}
+    score = {n: n.points * (1 - link_share[n]) for n in sizes}
+    return max(score, key=lambda n: (score[n], n.tag in ARTICLES, -len(n.children))), score, link_share
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars."""
-    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, urls, htmls in rows_of(batches):
+        for ids, urls, htmls in rows_of(parts_of(batches, 2)):
             texts = [main_text(h) for h in htmls]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -9,7 +9,7 @@ has a probability. No piece crosses a word's end, so the text's lattice is the p
 each distinct word is worked out once.
 
 Words above a share of all tokens (at most 1 / share of them) go to the workers as a table of proven size; all
-others are joined by a 64-bit hash, none of which is frequent. Null text counts as empty: one end token. Null ids
+others are joined by themselves, none of which is frequent. Null text counts as empty: one end token. Null ids
 are held out. Repeated rows are scored each. An empty table gives an empty result.
 """
 
@@ -20,16 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, materialise, rows_of, small_batches
+from .common import held_out, materialise, parts_of, rows_of
 
 END = b" "  # holds a space, so no word equals it
 MARK = "▁"
 HEAD_SHARE = 2e-6
-LONGEST_PIECE = 12
+WHOLE, CORE, MARGIN = 400, 320, 40
 BYTE_LOG = np.log(1e-4 / 256)
 _FLUSH = 250_000
 _HALF = np.uint64(0x9E3779B97F4A7C15)
@@ -41,7 +40,7 @@ def read_vocabulary(path: str) -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
-    return [p for p in dict.fromkeys(pieces) if len(p) <= LONGEST_PIECE and p == p.encode().lower().decode()]
+    return [p for p in dict.fromkeys(pieces) if p == p.encode().lower().decode()]
 
 
 def _prefix_hashes(codes: np.ndarray) -> np.ndarray:
@@ -52,9 +51,6 @@ def _prefix_hashes(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-_POWERS = np.array([pow(int(_HALF), k, 1 << 64) for k in range(LONGEST_PIECE + 1)], np.uint64)
-
-
 class Lattice:
     """Log probabilities of words over all segmentations into pieces; vectorised over words of one length."""
 
@@ -63,20 +59,22 @@ class Lattice:
         self.order = np.argsort(keys)
         self.keys, self.logs = keys[self.order], logs[self.order]
         self.longest = max(map(len, pieces))
+        self.powers = np.array([pow(int(_HALF), k, 1 << 64) for k in range(self.longest + 1)], np.uint64)
+        self.table: dict[int, float] = {}
 
     def edges(self, codes: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
-        """(start, end) -> place among the pieces, or -1, and the log probability of each word's edge."""
+        """(start, end) -> place among the pieces, or -1, and the log probability of each word's edge: the piece, and for single characters their bytes beside it."""
         prefix, n, out = _prefix_hashes(codes), codes.shape[1], {}
         for i in range(n):
             for j in range(i + 1, min(n, i + self.longest) + 1):
-                h = prefix[:, j] - prefix[:, i] * _POWERS[j - i]
+                h = prefix[:, j] - prefix[:, i] * self.powers[j - i]
                 at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
                 found = self.keys[at] == h
                 log = np.where(found, self.logs[at], -np.inf)
                 if j == i + 1:
                     c = codes[:, i]
                     size = 1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000)
-                    log = np.maximum(log, size * BYTE_LOG)
+                    log = np.logaddexp(log, size * BYTE_LOG)
                 elif not found.any():
                     continue
                 out[i, j] = (np.where(found, at, -1), log)
@@ -109,7 +107,7 @@ class Lattice:
     def log_probabilities(self, words: list[str]) -> np.ndarray:
         out = np.empty(len(words))
         for part, codes in self.batches(words):
-            if codes.shape[1] > 400:
+            if codes.shape[1] > WHOLE:
                 out[part] = [self.long_word(c) for c in codes]
             else:
                 out[part] = self.forward(codes, self.edges(codes))[-1]
@@ -117,33 +115,51 @@ class Lattice:
 
     def long_word(self, codes: np.ndarray) -> float:
         """The same recursion with a window of the last states only, for words of any length."""
-        table = {int(k): float(v) for k, v in zip(self.keys, self.logs)}
-        prefix, alpha, n, full = _prefix_hashes(codes[None])[0].tolist(), [0.0], len(codes), (1 << 64) - 1
-        powers = _POWERS.tolist()
+        if not self.table:
+            self.table.update(zip(self.keys.tolist(), self.logs.tolist()))
+        table, prefix, alpha, n, full = self.table, _prefix_hashes(codes[None])[0].tolist(), [0.0], len(codes), (1 << 64) - 1
+        powers = self.powers.tolist()
         for j in range(1, n + 1):
             c = int(codes[j - 1])
-            best = [alpha[-1] + BYTE_LOG * (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))]
+            paths = [alpha[-1] + BYTE_LOG * (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))]
             for i in range(max(0, j - self.longest), j):
                 log = table.get((prefix[j] - prefix[i] * powers[j - i]) & full)
                 if log is not None:
-                    if j == i + 1:
-                        best[0] = max(best[0], alpha[i - j] + log)
-                    else:
-                        best.append(alpha[i - j] + log)
-            alpha = [*alpha[-self.longest :], float(np.logaddexp.reduce(best))]
+                    paths.append(alpha[i - j] + log)
+            alpha = [*alpha[-self.longest :], float(np.logaddexp.reduce(paths))]
         return alpha[-1]
 
     def expected(self, words: list[str], weights: np.ndarray, into: np.ndarray) -> None:
-        """Adds each piece's expected count over the weighted words."""
+        """Adds each piece's expected count over the weighted words. Long words are counted in windows that overlap, each edge in the window whose core it starts in."""
         for part, codes in self.batches(words):
-            if codes.shape[1] > 400:
-                continue  # no vocabulary has a use for words of this length; they are scored all the same
-            edges = self.edges(codes)
-            alpha, beta = self.forward(codes, edges), self.backward(codes, edges)
-            for (i, j), (at, log) in edges.items():
-                hit = at >= 0
-                if hit.any():
-                    np.add.at(into, at[hit], (weights[part] * np.exp(alpha[i] + log + beta[j] - alpha[-1]))[hit])
+            n = codes.shape[1]
+            if n <= WHOLE:
+                self._count(codes, weights[part], into, 0, n)
+                continue
+            for core in range(0, n, CORE):
+                low, high = max(0, core - MARGIN), min(n, core + CORE + MARGIN)
+                self._count(codes[:, low:high], weights[part], into, core - low, min(core + CORE, n) - low)
+
+    def _count(self, codes: np.ndarray, weights: np.ndarray, into: np.ndarray, first: int, last: int) -> None:
+        edges = self.edges(codes)
+        alpha, beta = self.forward(codes, edges), self.backward(codes, edges)
+        for (i, j), (at, _) in edges.items():
+            hit = at >= 0
+            if first <= i < last and hit.any():
+                log = self.logs[at[hit]]  # of the piece alone, without the bytes beside it
+                np.add.at(into, at[hit], weights[hit] * np.exp(alpha[i][hit] + log + beta[j][hit] - alpha[-1][hit]))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 40_000) -> Iterator[list]:
+    """Column lists of some batches at a time, as words of one length are worked out together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield [c.to_pylist() for c in pa.Table.from_batches(held).columns]
+            held = []
+    if held:
+        yield [c.to_pylist() for c in pa.Table.from_batches(held).columns]
 
 
 def _tokens(text: str | None) -> list[bytes]:
@@ -162,7 +178,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             c = [learn[w] for w in words]
             return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c, pa.int64()), pa.array([n + other[w] for n, w in zip(c, words)], pa.int64())], ["word", "c", "seen"])
 
-        for texts, held in rows_of(batches):
+        for texts, held in rows_of(parts_of(batches, 0)):
             for text, h in zip(texts, held):
                 (other if h else learn).update(_tokens(text))
                 if len(learn) + len(other) > _FLUSH:
@@ -186,14 +202,13 @@ def fit_pieces(counts: DataFrame, vocabulary: list[str], rounds: int = 2) -> np.
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lattice, total = Lattice(shared.value, now.value), np.zeros(len(shared.value))
-            for words, c in rows_of(batches):
+            for words, c in _gathered(batches):
                 lattice.expected([w.decode("utf-8", "surrogatepass") for w in words], np.array(c, float), total)
             back = np.zeros(len(total))
             back[lattice.order] = total
             at = np.flatnonzero(back > 0)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(back[at])], ["piece", "n"])
 
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
         learned = counts.where((F.col("c") > 0) & (F.col("word") != F.lit(END))).select("word", "c").mapInArrow(run, "piece int, n double")
         n = np.zeros(len(vocabulary))
         for row in learned.groupBy("piece").agg(F.sum("n").alias("n")).collect():
@@ -204,48 +219,53 @@ def fit_pieces(counts: DataFrame, vocabulary: list[str], rounds: int = 2) -> np.
 
 
 def score(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2, head_share: float = HEAD_SHARE) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score.
+
+    score is the whole model's: words seen in training are edges of the lattice too. lattice_score is the marginal over
+    segmentations into the vocabulary's pieces alone.
+    """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", held_out(F.col("doc_id"), modulus, remainder))
     counts = materialise(word_counts(docs.select("text", "held_out")), "word-counts")
     known = F.col("c") > 0
-    total = counts.agg(F.sum("c"), F.count(F.when(known, 1)), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1)), F.sum("seen")).first()
-    n, v, once, twice, seen = (int(x or 0) for x in total)
+    ends = F.sum(F.when(F.col("word") == F.lit(END), F.col("c")))
+    total = counts.agg(F.sum("c"), F.count(F.when(known, 1)), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1)), F.sum("seen"), ends).first()
+    n, v, once, twice, seen, n_ends = (int(x or 0) for x in total)
     discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
     vocabulary = read_vocabulary(vocabulary_path)
     logs = fit_pieces(counts, vocabulary)
     model = spark.sparkContext.broadcast((vocabulary, logs))
     spare = np.log(discount * v / n) if n else 0.0
+    stop = (n_ends + 1) / (n + 2)  # chance of an end where the pieces alone speak
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*model.value)
-        for words, c, seen in rows_of(batches):
+        for words, c, seen in _gathered(batches):
             c = np.array(c, float)
             spelled = lattice.log_probabilities([w.decode("utf-8", "surrogatepass") for w in words])
             with np.errstate(divide="ignore"):
                 whole = np.log(np.maximum(c - discount, 0) / n) if n else np.full(len(c), -np.inf)
             log = np.logaddexp(whole, spare + spelled) / np.log(10)
+            pure = np.where([w == END for w in words], np.log(stop), np.log1p(-stop) + spelled) / np.log(10)
             base = np.log10((c + 1) / (n + v + 1))
-            keys = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(words, pa.binary()), pa.array(c > 0), pa.array(base), pa.array(log), pa.array(seen, pa.int64())], ["h", "word", "known", "base", "log", "seen"])
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c > 0), pa.array(base), pa.array(log), pa.array(pure), pa.array(seen, pa.int64())], ["word", "known", "base", "log", "pure", "seen"])
 
-    weighed = materialise(counts.mapInArrow(weigh, "h long, word binary, known boolean, base double, log double, seen long"), "word-scores")
+    weighed = materialise(counts.mapInArrow(weigh, "word binary, known boolean, base double, log double, pure double, seen long"), "word-scores")
     # at most 1 / head_share words have so large a share of all tokens
-    frequent = weighed.where(F.col("seen") >= F.lit(max(1.0, head_share * seen)) if seen > 1 / head_share else F.lit(True)).select("word", "known", "base", "log")
-    head = spark.sparkContext.broadcast({bytes(r["word"]): (r["known"], r["base"], r["log"]) for r in frequent.toLocalIterator()})
-    small_batches(spark)
+    few = F.lit(seen <= 1 / head_share)
+    frequent = few | (F.col("seen") >= F.lit(head_share * seen))
+    head = spark.sparkContext.broadcast({bytes(r["word"]): (r["known"], r["base"], r["log"], r["pure"]) for r in weighed.where(frequent).select("word", "known", "base", "log", "pure").toLocalIterator()})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = head.value
-        fields = ["row", "h", "tf", "doc_id", "held_out", "n_tokens", "n_known", "base", "log"]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        for rows, ids, texts, held in rows_of(batches):
+        fields = ["row", "word", "tf", "doc_id", "held_out", "n_tokens", "n_known", "base", "log", "pure"]
+        types = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+        for rows, ids, texts, held in rows_of(parts_of(batches, 2)):
             out = []
             for row, doc_id, text, h in zip(rows, ids, texts, held):
                 tokens = Counter(_tokens(text))
                 size = hits = 0
-                base = log = 0.0
+                base = log = pure = 0.0
                 rare = []
                 for w, tf in tokens.items():
                     size += tf
@@ -256,25 +276,24 @@ def score(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_co
                         hits += tf * got[0]
                         base += tf * got[1]
                         log += tf * got[2]
-                own = (doc_id, h, size, hits, base, log)
-                if not rare:  # a key that no word has and few documents share
-                    out.append((row, ~row, 0, *own))
+                        pure += tf * got[3]
+                own = (doc_id, h, size, hits, base, log, pure)
+                if not rare:  # a key that no word has, as it holds a space, and no other document shares
+                    out.append((row, b" %d" % row, 0, *own))
                 for w, tf in rare:
-                    out.append((row, xxhash.xxh64_intdigest(w) - (1 << 64) * (xxhash.xxh64_intdigest(w) >> 63), tf, *own))
-                    own = (None,) * 6
+                    out.append((row, w, tf, *own))
+                    own = (None,) * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], fields)
 
-    parts = docs.select("row", "doc_id", "text", "held_out").mapInArrow(count, "row long, h long, tf int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, log double")
-    rare = weighed.select("h", F.col("known").alias("k2"), F.col("base").alias("b2"), F.col("log").alias("l2"))
-    if seen > 1 / head_share:
-        rare = weighed.where(F.col("seen") < F.lit(head_share * seen)).select("h", F.col("known").alias("k2"), F.col("base").alias("b2"), F.col("log").alias("l2"))
-    joined = parts.join(rare, "h", "left")
+    parts = docs.select("row", "doc_id", "text", "held_out").mapInArrow(count, "row long, word binary, tf int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, log double, pure double")
+    rare = weighed.where(~frequent).select("word", F.col("known").alias("k2"), F.col("base").alias("b2"), F.col("log").alias("l2"), F.col("pure").alias("p2"))
+    joined = parts.join(rare, "word", "left")
     add = lambda own, other: F.sum(F.coalesce(F.col(own), F.lit(0)) + F.col("tf") * F.coalesce(F.col(other).cast("double"), F.lit(0.0)))
     summed = joined.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        add("n_known", "k2").cast("long").alias("n_known"), add("base", "b2").alias("base_score"), add("log", "l2").alias("score"),
+        add("n_known", "k2").cast("long").alias("n_known"), add("base", "b2").alias("base_score"), add("log", "l2").alias("score"), add("pure", "p2").alias("lattice_score"),
     )
-    return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "lattice_score")
 
 
 def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:

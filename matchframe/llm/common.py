@@ -21,8 +21,11 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one only where the session names none, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The shared folder of the cluster. A folder of the driver's machine is taken only where that is the whole cluster and the session names none, as in tests."""
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return there or _own_folder()
 
 
 @cache
@@ -45,11 +48,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Whole documents go to Python in batches of few rows, so that very long texts cannot fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id's text has the remainder; a null id is held out, so nothing is learned from it."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(modulus)) == F.lit(remainder), F.lit(True))
@@ -70,7 +68,10 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
 
 
 def parts_of(batches: Iterator[pa.RecordBatch], text: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut into parts whose texts (column `text`) have about `size` bytes, one row at least."""
+    """The batches cut into parts whose texts (column `text`) have about `size` bytes, one row at least, so that lists made of them stay small.
+
+    How much reaches a worker at once is bounded by the session's spark.sql.execution.arrow.maxBytesPerBatch.
+    """
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)) // size
         cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]

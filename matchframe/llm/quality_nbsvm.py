@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, rows_of, small_batches
+from .common import held_out, parts_of, rows_of
 from .toxicity import labelled_sample, logistic_curve
 
 #: Fixed values of the method.
@@ -106,13 +106,11 @@ def decision(x: np.ndarray, weights: np.ndarray, bias: float) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, remainder: int = 0, sample: int = SAMPLE) -> dict:
     """The model; its size is that of the buckets, whatever the corpus."""
-    spark = docs.sparkSession
-    small_batches(spark)
     rows = labelled_sample(docs, labels, label, id_col, text_col, modulus, remainder, sample)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes, buckets = Shapes(), Buckets()
-        for ys, _, texts in rows_of(batches):
+        for ys, _, texts in rows_of(parts_of(batches, 2)):
             found = [np.sort(indicators(t, shapes, buckets)).tolist() for t in texts]
             fold = [zlib.crc32((t or "").encode("utf-8", "surrogatepass")) % 5 for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(fold, pa.int32()), pa.array(found, pa.list_(pa.int32()))], ["y", "fold", "x"])
@@ -156,12 +154,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, remainder: int = 0, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, shapes, buckets = shared.value, Shapes(), Buckets()
-        for ids, held, texts in rows_of(batches):
+        for ids, held, texts in rows_of(parts_of(batches, 2)):
             if m["constant"] is not None:
                 values = np.full(len(ids), m["constant"])
             else:

@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, materialise, rows_of, small_batches
+from .common import bounded_sample, held_out, materialise, parts_of, rows_of
 
 #: Fixed values of the method.
-SAMPLE, MAX_UNITS = 20_000, 50_000
+SAMPLE = 20_000
 DRIFT, PRIOR_DOCS, LEAST_G2, LEAST_DOCS = 0.1, 10.0, 15.0, 4
 PREFIXES = (4, 5, 6, 7, 8)
-NO_SEGMENT = -8.0
+NO_SEGMENT, TOP = -8.0, 60.0
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -120,7 +120,7 @@ def count_units(rows: DataFrame) -> DataFrame:
             units = list(set().union(*held))
             return pa.RecordBatch.from_arrays([pa.array(units, pa.string()), *(pa.array([c[u] for u in units], pa.int64()) for c in held)], ["unit", "c0", "c1", "t0", "t1"])
 
-        for ys, halves, texts in rows_of(batches):
+        for ys, halves, texts in rows_of(parts_of(batches, 2)):
             for y, half, text in zip(ys, halves, texts):
                 held[2 * y + half].update({u for w in set(tokens_of(text)) for u in units_of(w)})
             if sum(map(len, held)) > 400_000:
@@ -134,14 +134,14 @@ def count_units(rows: DataFrame) -> DataFrame:
 
 
 def log_odds(counts: DataFrame, toxic: str, clean: str, toxic_docs: int, clean_docs: int) -> dict[str, tuple[float, float]]:
-    """unit -> (certainty, log-odds) of the significant units, at most MAX_UNITS."""
+    """unit -> (certainty, log-odds) of the significant units. Their number is bounded by the sample's: each is in LEAST_DOCS of its documents at least."""
     t, c = F.expr(toxic), F.expr(clean)
     both, docs = t + c, toxic_docs + clean_docs
     prior = PRIOR_DOCS * both / docs
     odds = F.log((t + prior) / (toxic_docs + PRIOR_DOCS - t - prior + 0.5)) - F.log((c + prior) / (clean_docs + PRIOR_DOCS - c - prior + 0.5))
     part = lambda seen, share: F.when(seen > 0, seen * F.log(seen / (both * F.lit(share)))).otherwise(0.0)
     g2 = 2 * (part(t, toxic_docs / docs) + part(c, clean_docs / docs))
-    rows = counts.select("unit", odds.alias("odds"), g2.alias("g2")).where((F.col("g2") >= LEAST_G2)).orderBy(F.desc("g2"), "unit").limit(MAX_UNITS)
+    rows = counts.select("unit", odds.alias("odds"), g2.alias("g2")).where(F.col("g2") >= LEAST_G2)
     return {r["unit"]: (r["g2"], r["odds"]) for r in rows.collect()}
 
 
@@ -162,7 +162,6 @@ def logistic_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[fl
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, remainder: int = 0, sample: int = SAMPLE) -> dict | None:
     """The model: units, k, slope and intercept; None where a class is missing."""
-    small_batches(docs.sparkSession)
     rows = labelled_sample(docs, labels, label, id_col, text_col, modulus, remainder, sample)
     sizes = {(r["y"], r["half"]): r["n"] for r in rows.groupBy("y", "half").agg(F.count(F.lit(1)).alias("n")).collect()}
     size = lambda y, *halves: sum(sizes.get((y, h), 0) for h in halves)
@@ -174,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = TokenScores(half.value)
-        for ys, _, texts in rows_of(batches):
+        for ys, _, texts in rows_of(parts_of(batches, 2)):
             words = [tokens_of(t) for t in texts]
             found = [[s for s, _, _ in segments_of(w, scores)] for w in words]
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array([max(len(w), 1) for w in words], pa.int64()), pa.array(found, pa.list_(pa.float64()))], ["y", "n", "found"])
@@ -186,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ys, ns, found in rows_of(batches):
-            x = [int(round(2 * min(statistic(f, n, k), 60.0))) for f, n in zip(found, ns)]
+            x = [int(round(2 * min(statistic(f, n, k), TOP))) for f, n in zip(found, ns)]
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(x, pa.int32())], ["y", "x"])
 
     table = np.array([tuple(r) for r in scanned.mapInArrow(bins, "y int, x int").groupBy("x", "y").count().collect()], float)
@@ -195,28 +194,31 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     return {"units": units, "k": k, "slope": slope, "intercept": intercept}
 
 
+def judge(text: str | None, model: dict | None, scores: TokenScores | None) -> tuple[float, list[tuple[float, int, int]], int]:
+    """Probability, maximal segments and tokens of a text. One rule for scoring and for dropping."""
+    if not model:
+        return 0.0, [], 0
+    words = tokens_of(text)
+    found = segments_of(words, scores)
+    x = min(statistic([s for s, _, _ in found], len(words), model["k"]), TOP)
+    return 1 / (1 + math.exp(-min(max(model["slope"] * x + model["intercept"], -30), 30))), found, len(words)
+
+
 def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, remainder: int = 0) -> DataFrame:
     """doc_id, held_out, score, predicted, n_passages and passages (first and end token of each segment that few clean texts have)."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         scores = TokenScores(m["units"]) if m else None
-        for ids, held, texts in rows_of(batches):
-            out = []
-            for text in texts:
-                if not m:
-                    out.append((0.0, []))
-                    continue
-                words = tokens_of(text)
-                found = segments_of(words, scores)
-                x = min(statistic([s for s, _, _ in found], len(words), m["k"]), 60.0)
-                sure = [f"{i}:{j}" for s, i, j in found if m["k"] * len(words) * math.exp(-s) < 0.05]
-                out.append((1 / (1 + math.exp(-min(max(m["slope"] * x + m["intercept"], -30), 30))), sure))
-            values = [o[0] for o in out]
+        for batch in parts_of(batches, 2):
+            values, passages = [], []
+            for text in batch.column(2).to_pylist():
+                value, found, n = judge(text, m, scores)
+                values.append(value)
+                passages.append([f"{i}:{j}" for s, i, j in found if m["k"] * n * math.exp(-s) < 0.05])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(values), pa.array([int(v >= 0.5) for v in values], pa.int32()), pa.array([len(o[1]) for o in out], pa.int32()), pa.array([",".join(o[1]) for o in out])],
+                [batch.column(0), batch.column(1), pa.array(values), pa.array([int(v >= 0.5) for v in values], pa.int32()), pa.array(map(len, passages), pa.int32()), pa.array(map(",".join, passages), pa.string())],
                 ["doc_id", "held_out", "score", "predicted", "n_passages", "passages"],
             )
 
@@ -226,21 +228,13 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those predicted toxic; same columns. The decision is taken where the text is, so no text is shuffled."""
-    model = fit(docs, labels)
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         scores = TokenScores(m["units"]) if m else None
-        for batch in batches:
-            if m:
-                keep = []
-                for text in batch.column("text").to_pylist():
-                    words = tokens_of(text)
-                    x = statistic([s for s, _, _ in segments_of(words, scores)], len(words), m["k"])
-                    keep.append(m["slope"] * x + m["intercept"] < 0)
-                batch = batch.filter(pa.array(keep, pa.bool_()))
-            yield batch
+        for batch in parts_of(batches, at):
+            yield batch.filter(pa.array([judge(text, m, scores)[0] < 0.5 for text in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -484,7 +484,7 @@ def brute_log(word, table):
         for i in range(j):
             log = table.get(text[i:j], -math.inf)
             if j == i + 1:
-                log = max(log, len(text[i].encode()) * lm_lattice.BYTE_LOG)
+                log = float(np.logaddexp(log, len(text[i].encode()) * lm_lattice.BYTE_LOG))
             if log > -math.inf:
                 alpha[j] = float(np.logaddexp(alpha[j], alpha[i] + log))
     return alpha[-1]
@@ -505,8 +505,45 @@ def test_expected_counts_add_up_to_pieces_used():
     total = np.zeros(5)
     lattice.expected(["ab"], np.array([3.0]), total)
     back = dict(zip([pieces[i] for i in lattice.order], total))
-    # three paths: ▁a b (0.04), ▁ ab (0.04), ▁ a b (0.008)
-    assert back["▁a"] == pytest.approx(3 * 0.04 / 0.088) and back["a"] == pytest.approx(3 * 0.008 / 0.088)
+    # three paths: ▁a b (0.04), ▁ ab (0.04), ▁ a b (0.008); those over bytes weigh less than the tolerance
+    assert back["▁a"] == pytest.approx(3 * 0.04 / 0.088, rel=1e-4) and back["a"] == pytest.approx(3 * 0.008 / 0.088, rel=1e-4)
+
+
+def test_long_words_are_counted_in_windows(monkeypatch):
+    """A long word gives the counts that one pass over it gives, up to what a window cannot see."""
+    pieces = ["▁", "a", "b", "ab", "ba", "aab", "ccc", "c"]
+    lattice = lm_lattice.Lattice(pieces, np.log(np.array([0.2, 0.1, 0.1, 0.2, 0.1, 0.1, 0.1, 0.1])))
+    draw = random.Random(4)
+    long = ["".join(draw.choice("abc") for _ in range(n)) for n in (401, 1000, 1234)]
+    windows, whole = np.zeros(8), np.zeros(8)
+    lattice.expected(long, np.array([1.0, 2.0, 3.0]), windows)
+    monkeypatch.setattr(lm_lattice, "WHOLE", 10**6)
+    lattice.expected(long, np.array([1.0, 2.0, 3.0]), whole)
+    assert windows == pytest.approx(whole, rel=1e-6) and whole.min() > 0
+
+
+def test_whole_scores_against_brute_force(spark):
+    """score and lattice_score from the fitted pieces: discounted words beside all segmentations."""
+    draw = random.Random(8)
+    texts = [" ".join(draw.choice(["understanding", "stand", "under", "x" * 450, "Été", f"q{draw.randrange(30)}"]) for _ in range(12)) for _ in range(60)]
+    docs = documents(spark, list(enumerate(texts)))
+    low = {k: [*words(re.sub("[A-Z]", lambda m: m[0].lower(), t)), None] for k, t in enumerate(texts)}
+    counts = collections.Counter(w for k, ws in low.items() if zlib.crc32(str(k).encode()) % 7 != 2 for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    of = collections.Counter(counts.values())
+    d = min(0.95, max(0.1, of[1] / (of[1] + 2 * of[2]))) if of[1] else 0.5
+    vocabulary = lm_lattice.read_vocabulary(lm_lattice.vocabulary_path())
+    assert max(map(len, vocabulary)) > 12
+    frame = spark.createDataFrame([(bytearray((w or " ").encode()), c) for w, c in counts.items()], "word binary, c long")
+    table = dict(zip(vocabulary, lm_lattice.fit_pieces(frame, vocabulary)))
+    spelled = {w: brute_log(w, table) for ws in low.values() for w in ws if w}
+    spelled[None] = brute_log(" ", table)
+    stop = (counts[None] + 1) / (n + 2)
+    for share in (lm_lattice.HEAD_SHARE, 1e-2):
+        for r in lm_lattice.score(docs, lm_lattice.vocabulary_path(), head_share=share).collect():
+            ws = low[r.doc_id]
+            assert r.score == pytest.approx(sum(math.log10(max(counts[w] - d, 0) / n + d * v / n * math.exp(spelled[w])) for w in ws))
+            assert r.lattice_score == pytest.approx(sum(math.log10(stop) if w is None else math.log10(1 - stop) + spelled[w] / math.log(10) for w in ws))
 
 
 def test_base_scores_against_brute_force(spark, small):
@@ -604,6 +641,13 @@ PAGES = [
     ("<div class='sidebar'><p>Long side text, with commas, many, many, commas, here.</p></div><div id=content><p>Main text here, with some words in it, and more.</p><p>Second, and also long enough to be read.</p></div><div class=comments><p>A comment, rude, long, and silly, as ever.</p></div>", "Main text here, with some words in it, and more.\nSecond, and also long enough to be read."),
     ("<article><p>Text<script>var a='<p>no</p>'</script> goes on</p><form><input><label>Mail</label></form><aside>see also</aside><ul><li>item one<li>item two</ul><section class=comments><p>hi</p></section><p>End&#33;</p></article>", "Text goes on\nitem one\nitem two\nEnd!"),
     ("<article><p>Ti.</p></article><div class=ad>Buy, buy, buy, and buy again, all of it, now, now, please.</div>", "Ti."), (None, ""), ("", ""), ("plain words only", "plain words only"), ("<nav>menu</nav>", ""),
+    ("<div id=content class='layout has-sidebar'><p>One, two, three.</p></div><div class=left-sidebar><p>Side, side, side, side.</p></div>", "One, two, three."),
+    ("<div class='sidebar-right page'><p>All of it, in here.</p><div class=share-box><p>Share it</p></div></div>", "All of it, in here."),
+    ("<main><article><p>First, long, with commas, and more.</p></article><article><p>Second.</p></article><article class='comment'><p>No, no.</p></article></main>", "First, long, with commas, and more.\nSecond."),
+    ("<body><div><h2>Head</h2><div><p>A, b, c, d, e, f, g.</p><p>H, i, j, k.</p></div><div><p>Short.</p></div><div><a href=x>link one</a> <a href=y>link two</a></div></div></body>", "Head\nA, b, c, d, e, f, g.\nH, i, j, k.\nShort."),
+    ("<article><p>See <math><mi>x</mi></math>, press <button>Run</button> and <object>a film</object>.</p></article>", "See x, press Run and a film."),
+    ("<article><div><div><p>Deep, deep, deep.</p></div></div><p>Other, text.</p></article>", "Deep, deep, deep.\nOther, text."),
+    ("<div class='entry with-share no-comments'><p>Text, text.</p></div><section class=user-comments><p>Rude, rude, rude, rude.</p></section>", "Text, text."),
 ]
 
 
@@ -612,6 +656,59 @@ def test_main_text(html, want):
     assert html_extract.main_text(html) == want
 
 
+TAGS = st.sampled_from(["div", "section", "article", "main", "p", "h2", "a", "li", "td"])
+TREES = st.recursive(st.text("ab, ", min_size=1, max_size=150), lambda inner: st.tuples(TAGS, st.lists(inner, max_size=4)), max_leaves=14)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(TREES, min_size=1, max_size=5))
+def test_scores_of_random_trees(trees):
+    """Scores by their definition, from each container down."""
+    root = html_extract.Node("root", None)
+
+    def build(node, parts):
+        for part in parts:
+            if isinstance(part, str):
+                node.children.append(part)
+            else:
+                child = html_extract.Node(part[0], node)
+                node.children.append(child)
+                build(child, part[1])
+
+    build(root, trees)
+    blocks = html_extract._blocks(root)
+    if not blocks:
+        return
+    best, score, _ = html_extract._scored(blocks)
+
+    def up(node):
+        return [] if node is None else [node, *up(node.parent)]
+
+    def by_definition(container):
+        points = size = links = 0
+        for owner, text, linked in blocks:
+            line = up(owner)
+            if container not in line:
+                continue
+            size, links = size + len(text), links + linked
+            gives = 0 if owner.tag == "h2" else 1 + text.count(",") + min(len(text) // 100, 3)
+            first = 1 if owner.tag in ("p", "h2", "li", "td") and owner.parent else 0
+            line = line[first:]
+            if container not in line:
+                continue
+            at = line.index(container)
+            article = next((k for k, n in enumerate(line) if n.tag in ("article", "main")), None)
+            if article == at:
+                points += 1.1 * gives
+            else:
+                far = at if article is None or at < article else at - article
+                points += gives * (1 if far == 0 else 1 / 2 if far == 1 else 1 / (3 * far))
+        return points * (1 - links / max(size, 1))
+
+    assert score == {n: pytest.approx(by_definition(n)) for n in score}
+    assert score[best] == max(score.values())
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(k, f"u{k}", h, "t", 3) for k, (h, _) in enumerate(PAGES)] + [(0, "u0", PAGES[0][0], "t", 3)], "page_id long, url string, html string, text string, n_chars int")
     got = html_extract.extract(pages).collect()

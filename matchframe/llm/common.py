@@ -48,6 +48,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches of whole texts go to Python by at most 4 MB, whatever the length of a text, so that neither side of the pipe fills.
+
+    A session that has a bound of its own keeps it. The bound is one for all operators, so it does not matter which set it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "67108864b") in ("67108864b", "64MB"):
+        spark.conf.set(key, "4m")
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id's text has the remainder; a null id is held out, so nothing is learned from it."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(modulus)) == F.lit(remainder), F.lit(True))
@@ -68,16 +78,14 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
 
 
 def parts_of(batches: Iterator[pa.RecordBatch], text: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut into parts whose texts (column `text`) have about `size` bytes, one row at least, so that lists made of them stay small.
-
-    How much reaches a worker at once is bounded by the session's spark.sql.execution.arrow.maxBytesPerBatch.
-    """
+    """The batches cut into parts whose texts (column `text`) have about `size` bytes, one row at least, so that lists made of them stay small."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)) // size
         cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # workers live on from stage to stage
 
 
 def bounded_sample(rows: DataFrame, key: str, bound: int) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts_of, rows_of
+from .common import bounded_batches, parts_of, rows_of
 
 #: Element names and class words, by their part in the method.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -257,6 +257,7 @@ def _scored(blocks: list[tuple[Node, str, int]]) -> tuple[Node, dict[Node, float
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars."""
 
+    bounded_batches(pages.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, urls, htmls in rows_of(parts_of(batches, 2)):
             texts = [main_text(h) for h in htmls]

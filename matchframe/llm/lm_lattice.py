@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, materialise, parts_of, rows_of
+from .common import bounded_batches, held_out, materialise, parts_of, rows_of
 
 END = b" "  # holds a space, so no word equals it
 MARK = "▁"
@@ -226,6 +226,7 @@ def score(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_co
     """
     spark = docs.sparkSession
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", held_out(F.col("doc_id"), modulus, remainder))
+    bounded_batches(spark)
     counts = materialise(word_counts(docs.select("text", "held_out")), "word-counts")
     known = F.col("c") > 0
     ends = F.sum(F.when(F.col("word") == F.lit(END), F.col("c")))

@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, parts_of
+from .common import bounded_batches, materialise, parts_of
 
 CAPACITY = 2048
 PART_ROWS = 200_000
-_CACHE_LIMIT = 800_000
+_CACHE_LIMIT = 400_000
 #: Lower-case letters whose runs are one unit for the tokenizer, and marks that are never part of such a unit.
 _LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
 _MARKS = ".,;:!?()[]{}*#%&$/"
@@ -118,6 +118,7 @@ def encoder_of(tokenizer: str) -> WordEncoder:
 
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids, then id 0, cut only where longer than capacity. tokenizer: a path, or the name of a public tokenizer's file."""
+    bounded_batches(docs.sparkSession)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

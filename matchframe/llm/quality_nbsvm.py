@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, parts_of, rows_of
+from .common import bounded_batches, held_out, parts_of, rows_of
 from .toxicity import labelled_sample, logistic_curve
 
 #: Fixed values of the method.
@@ -106,6 +106,7 @@ def decision(x: np.ndarray, weights: np.ndarray, bias: float) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, remainder: int = 0, sample: int = SAMPLE) -> dict:
     """The model; its size is that of the buckets, whatever the corpus."""
+    bounded_batches(docs.sparkSession)
     rows = labelled_sample(docs, labels, label, id_col, text_col, modulus, remainder, sample)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,6 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, remainder: int = 0, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

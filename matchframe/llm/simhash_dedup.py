@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, materialise, parts_of
+from .common import bounded_batches, bounded_sample, materialise, parts_of
 
 SEGMENTS, SEGMENT_BITS = 16, 4
 RADIUS = 2
@@ -184,6 +184,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, cell_limit: int = 2000) -> DataFrame:
     """doc_id, fp, component_id for every row of docs."""
+    bounded_batches(docs.sparkSession)
     prints = materialise(fingerprints(docs, id_col, text_col, width), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null")
     distinct = materialise(distinct, "distinct-fingerprints")
@@ -376,6 +377,7 @@ def similar(docs: DataFrame) -> DataFrame:
     First neighbours by size are compared for each shared shingle, then all pairs that are not yet in one group, so
     that a large group of near copies does not give pairs by the square of its size.
     """
+    bounded_batches(docs.sparkSession)
     prints = materialise(prefixes(docs).where("doc_id is not null"), "prefixes")
     distinct = prints.groupBy("key").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     distinct = materialise(distinct.select("key", "first.*", "n", "bits"), "distinct-sets")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, materialise, parts_of, rows_of
+from .common import bounded_batches, bounded_sample, held_out, materialise, parts_of, rows_of
 
 #: Fixed values of the method.
 SAMPLE = 20_000
@@ -162,6 +162,7 @@ def logistic_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[fl
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, remainder: int = 0, sample: int = SAMPLE) -> dict | None:
     """The model: units, k, slope and intercept; None where a class is missing."""
+    bounded_batches(docs.sparkSession)
     rows = labelled_sample(docs, labels, label, id_col, text_col, modulus, remainder, sample)
     sizes = {(r["y"], r["half"]): r["n"] for r in rows.groupBy("y", "half").agg(F.count(F.lit(1)).alias("n")).collect()}
     size = lambda y, *halves: sum(sizes.get((y, h), 0) for h in halves)
@@ -206,6 +207,7 @@ def judge(text: str | None, model: dict | None, scores: TokenScores | None) -> t
 
 def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, remainder: int = 0) -> DataFrame:
     """doc_id, held_out, score, predicted, n_passages and passages (first and end token of each segment that few clean texts have)."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,7 +36,7 @@ SELECT CAST(100000 + c_custkey AS BIGINT) AS mid, CASE WHEN c_custkey % 2 = 0 TH
   CAST(floor(c_custkey / 2) AS INT) + 1 AS bio_id, c_name AS name, n_name AS country, CAST(18 + c_custkey % 20 AS INT) AS age,
   CAST(50 + c_custkey % 40 AS INT) AS surf_h, CAST(45 + c_custkey % 45 AS INT) AS surf_c, CAST(48 + c_custkey % 35 AS INT) AS surf_g,
   c_custkey % 23 = 0 AS inj
-FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 50 <> 49""",
+FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "fx_events": """
 SELECT 'ev' || CAST(s_suppkey AS STRING) AS id, s_name AS name,
   CASE s_suppkey % 3 WHEN 0 THEN 'both' WHEN 1 THEN 'atp' ELSE 'wta' END AS tour,
@@ -44,18 +44,19 @@ SELECT 'ev' || CAST(s_suppkey AS STRING) AS id, s_name AS name,
     WHEN 5 THEN 'M250' WHEN 6 THEN 'W250' WHEN 7 THEN 'ATPFinals' WHEN 8 THEN 'W125' ELSE NULL END AS type,
   CASE s_suppkey % 5 WHEN 0 THEN 128 WHEN 1 THEN 96 WHEN 2 THEN 64 WHEN 3 THEN 32 ELSE 56 END AS draw_size,
   s_suppkey % 8 = 3 AS active,
-  CASE WHEN s_suppkey % 3 <> 2 THEN CAST(20000 + s_suppkey AS INT) END AS api_id_atp,
-  CASE WHEN s_suppkey % 3 <> 1 THEN CAST(30000 + s_suppkey AS INT) END AS api_id_wta
-FROM supplier WHERE s_suppkey < 20 AND s_suppkey % 7 <> 6""",
+  CASE WHEN s_suppkey % 3 <> 2 AND s_suppkey % 7 <> 6 THEN CAST(20000 + s_suppkey AS INT) END AS api_id_atp,
+  CASE WHEN s_suppkey % 3 <> 1 AND s_suppkey % 7 <> 6 THEN CAST(30000 + s_suppkey AS INT) END AS api_id_wta
+FROM supplier""",
     "fx_raw": f"""
 SELECT *, CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE {_blob("l_partkey")} END AS stat_p1,
   CASE WHEN l_partkey % 13 = 0 OR l_partkey % 17 = 0 THEN NULL ELSE {_blob("(l_partkey + 3 * l_suppkey + 11)")} END AS stat_p2
 FROM (
   SELECT CAST(l_orderkey * 10 + l_linenumber AS STRING) AS id, CASE WHEN o_custkey % 2 = 0 THEN 'atp' ELSE 'wta' END AS tour,
-    CAST(CASE WHEN o_custkey % 2 = 0 THEN 20000 ELSE 30000 END + l_suppkey % 20 AS INT) AS tournament_api_id,
-    'Event ' || CAST(l_suppkey % 20 AS STRING) AS tournament_name, CAST(l_shipdate AS DATE) AS date,
+    CAST(CASE WHEN o_custkey % 2 = 0 THEN 20000 ELSE 30000 END + l_suppkey AS INT) AS tournament_api_id,
+    'Event ' || CAST(l_suppkey AS STRING) AS tournament_name, CAST(l_shipdate AS DATE) AS date,
     CAST(100000 + o_custkey AS BIGINT) AS p1_id,
-    CAST(100000 + (o_custkey + 2 * (1 + l_partkey % 7)) % (SELECT count(*) FROM customer) AS BIGINT) AS p2_id,
+    CASE WHEN l_partkey % 50 = 49 THEN CAST(900000000 + o_custkey AS BIGINT)  -- a competitor that no catalog row has
+      ELSE CAST(100000 + (o_custkey + 2 * (1 + l_partkey % 7)) % (SELECT count(*) FROM customer) AS BIGINT) END AS p2_id,
     CASE WHEN l_partkey % 101 = 0 THEN NULL WHEN l_quantity = 50 THEN 'Q1' WHEN l_linenumber = 1 THEN 'First' WHEN l_linenumber = 2 THEN 'Second'
       WHEN l_linenumber = 3 THEN 'Third' WHEN l_linenumber = 4 THEN 'Fourth' WHEN l_linenumber = 5 THEN '1/4' WHEN l_linenumber = 6 THEN '1/2' ELSE 'Final' END AS round,
     CASE l_partkey % 5 WHEN 2 THEN 'C' WHEN 3 THEN 'G' WHEN 4 THEN NULL ELSE 'H' END AS surface,

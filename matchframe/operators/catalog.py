@@ -39,7 +39,7 @@ def classify_events(names: DataFrame, patterns: DataFrame) -> DataFrame:
     """
     tier = F.when(F.col("tour") == "atp", F.col("atp_tier")).otherwise(F.col("wta_tier"))
     hit = F.contains(F.lower("name"), F.lower("substring")) & tier.isNotNull()
-    found = names.select("name", "tour").distinct().join(F.broadcast(patterns), hit)
+    found = names.select("name", "tour").distinct().join(patterns, hit)
     best = found.groupBy("name", "tour").agg(F.min_by(F.struct(tier.alias("tier"), F.col("slug").alias("event_slug"), "substring"), "ordinal").alias("p"))
     return names.join(best, ["name", "tour"], "left").select(*names.columns, "p.tier", "p.event_slug", F.col("p.substring").alias("pattern"))
 

@@ -16,9 +16,11 @@ COUNTERS = ("svpt", "serve_won", "aces", "bp_faced", "bp_saved", "opp_svpt", "op
 
 def measured(matches: DataFrame, players: DataFrame) -> DataFrame:
     """Sides of tracked competitors with their counters, decoded once for all periods."""
-    rows = tracked(sides(matches), players)
+    # each blob is decoded once, before the sides double the rows
+    counters = lambda stats: F.when(F.col(stats).isNotNull(), F.struct(*(C.stat_int(F.col(stats), *names).alias(n) for n, names in C.STAT_ALIASES.items())))
+    rows = tracked(sides(matches.withColumn("stat_p1", counters("stat_p1")).withColumn("stat_p2", counters("stat_p2"))), players)
     own, opp, both = F.col("own"), F.col("opp"), F.col("own").isNotNull() & F.col("opp").isNotNull()
-    count = lambda stats, name: F.when(both, C.stat_int(stats, *C.STAT_ALIASES[name])).otherwise(0)
+    count = lambda stats, name: F.when(both, stats[name]).otherwise(0)
     rows = rows.withColumn("win", F.coalesce("won", F.lit(False))).withColumn("sets", C.sets_of(F.col("score")))
     rows = rows.withColumn("faced", count(own, "bp_faced")).withColumn("saved", count(own, "bp_saved"))
     attempts, converted = count(opp, "bp_attempts"), count(opp, "bp_converted")
@@ -89,7 +91,7 @@ def composite_z(metrics: DataFrame, over: list[str], cols: tuple[str, ...] = MET
     z = F.array(*(F.when(F.col(f"{c}_s") > 0, (F.col(c) - F.col(f"{c}_m")) / F.col(f"{c}_s")) for c in cols))
     have = F.filter(z, lambda x: x.isNotNull())
     mean = F.aggregate(have, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(have), F.lit(0))
-    return metrics.join(stats, over).withColumn("composite_z", F.round(mean, 6)).select(*metrics.columns, "composite_z")
+    return metrics.join(stats, over).withColumn("composite_z", mean).select(*metrics.columns, "composite_z")
 
 
 def period_delta(metrics: DataFrame, new: str, old: str, keys: list[str], cols: tuple[str, ...] = METRICS) -> DataFrame:

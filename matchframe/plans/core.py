@@ -52,17 +52,7 @@ def _values(name: str, columns: str, rows: list[tuple]) -> str:
     return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows) + ")"
 
 
-def _semantics_rows() -> list[tuple]:
-    rows = [(96, "First", "R64", "R64")]
-    for draw, (first, rounds, extra) in schema.DRAWS.items():
-        for k, name in enumerate(rounds):
-            at = schema.STAGES.index("QF") + k - (len(rounds) - 3) if k >= len(rounds) - 3 else schema.STAGES.index(first) + k
-            rows.append((draw, name, schema.STAGES[at], schema.STAGES[at + 1]))
-        rows += [(draw, n, s, schema.STAGES[schema.STAGES.index(s) + 1]) for n, s in extra.items()]
-    return rows
-
-
-SEM = _values("sem", "draw_bucket, round, played, nxt", _semantics_rows())
+SEM = _values("sem", "draw_bucket, round, played, nxt", list(schema.ROUNDS))
 DEPTH = _values("dep", "stage, depth", [(s, k) for k, s in enumerate(schema.STAGES, 1)])
 RDEPTH = _values("rdep", "round, depth", list(schema.ROUND_DEPTHS.items()))
 PTS = _values("ptab", "points_type, stage, pts", [(t, s, p) for t, row in schema.POINTS.items() for s, p in row.items()])
@@ -181,7 +171,7 @@ def history_recent(spark, d):
 
 HIST = RDEPTH + ", " + SIDES + """, ev AS (SELECT tr.tour, bio_id, tournament_name AS event_name, CAST(year(date) AS INTEGER) AS year, tr.round, coalesce(won, false) AS won,
   row_number() OVER (PARTITION BY tr.tour, bio_id, tournament_name, year(date) ORDER BY depth DESC, date DESC, id DESC) AS rn FROM tr JOIN rdep ON rdep.round = tr.round),
-hi AS (SELECT tour, bio_id, event_name, year, round, won FROM ev WHERE rn = 1)"""
+hi AS MATERIALIZED (SELECT tour, bio_id, event_name, year, round, won FROM ev WHERE rn = 1)"""
 
 
 @query("WITH " + HIST + " SELECT * FROM hi")

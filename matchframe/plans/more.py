@@ -77,7 +77,7 @@ def ingest_matches(spark, d):
     common = [F.struct(F.col("tournament_api_id").alias("id"), F.col("tournament_name").alias("name"), court.alias("courtId")).alias("tournament"), F.struct(F.col("stat_p1").alias("stat1"), F.col("stat_p2").alias("stat2")).alias("stat"), "date"]
     one = F.to_json(F.struct("id", F.col("p1_id").alias("player1Id"), F.col("p2_id").alias("player2Id"), *common, plain.alias("round"), F.col("winner_id").alias("match_winner"), F.col("score").alias("result"), F.col("best_of").alias("bestOf")))
     two = F.to_json(F.struct(F.col("id").alias("matchId"), F.col("p1_id").alias("p1Id"), F.col("p2_id").alias("p2Id"), *common, F.struct(F.col("round").alias("shortName")).alias("round"), F.coalesce(F.col("winner_id"), F.lit(0)).alias("winnerId"), "score", "best_of"))
-    items = m.select("tour", F.pmod(F.xxhash64("id"), F.lit(97)).alias("page"), odd.alias("bare"), F.when(odd, one).otherwise(two).alias("item"))
+    items = m.select("tour", F.floor(F.col("id").cast("long") / 5000).alias("page"), odd.alias("bare"), F.when(odd, one).otherwise(two).alias("item"))
     joined = F.concat(F.lit("["), F.array_join(F.collect_list("item"), ","), F.lit("]"))
     pages = items.groupBy("tour", "page", "bare").agg(joined.alias("list"))
     pages = pages.select("tour", F.when(F.col("bare"), F.col("list")).otherwise(F.concat(F.lit('{"data":'), F.col("list"), F.lit("}"))).alias("value"))
@@ -225,7 +225,7 @@ def rank_rolling_series(spark, d):
     return season.rolling_points_series(table(spark, d, "fx_rankings").select("tour", "bio_id", F.col("snapshot_date").alias("date"), "pts"))
 
 
-BANDS = _values("bnd", "lo, hi, stage, prob", [(lo, hi, s, p) for (hi, ch), lo in zip(schema.BANDS.items(), [-2147483648, 2, 3, 5, 9, 17, 33]) for s, p in zip(schema.MODEL_STAGES, ch)])
+BANDS = _values("bnd", "lo, hi, stage, prob", [(lo, hi, s, p) for lo, hi, chances in schema.BANDS for s, p in chances.items()])
 MODEL = _values("mdl", "mtype, stage, mpts", [(t, s, p) for t, row in schema.MODEL_POINTS.items() for s, p in row.items()])
 EXPECT = BANDS + ", " + MODEL + ", ex AS (SELECT lo, hi, mtype, CAST(sum(prob * mpts) AS BIGINT) AS e100 FROM bnd JOIN mdl USING (stage) GROUP BY lo, hi, mtype)"
 _MT = "CASE WHEN type IN ('GS', 'M1000', 'W500', 'W250') THEN type ELSE 'M1000' END"
@@ -242,8 +242,8 @@ def _event_types(spark, d):
 
 @query("WITH " + NOW + ", " + EXPECT + f" SELECT tour, bio_id, rank, e.id AS event_id, type, e100 AS expected100 FROM now CROSS JOIN (SELECT id, type FROM fx_events) e JOIN ex ON mtype = {_MT} AND rank BETWEEN lo AND hi")
 def project_expected_points(spark, d):
-    pairs = _ranked(spark, d).select("tour", "bio_id", "rank").crossJoin(F.broadcast(_event_types(spark, d).drop("live")))  # the calendar of one season
-    return project.expected_points(pairs)
+    pairs = project.at_events(_ranked(spark, d).select("tour", "bio_id", "rank"), _event_types(spark, d).drop("live"))
+    return pairs.select("tour", "bio_id", "rank", "event_id", "type", "expected100")
 
 
 _STATES = ["W", "F", "SF", "QF", "R3", "R2", "R1", "WD", "EL"]
@@ -451,19 +451,28 @@ def _drained(spark, stream, name: str, mode: str = "append"):
 
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
     out = f"{root}/{name}-{uuid4().hex}"
-    stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    if mode == "complete":  # each batch gives the whole result so far
+        sink = stream.writeStream.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{out}/rows"))
+    else:
+        sink = stream.writeStream.format("parquet").option("path", f"{out}/rows")
+    sink.option("checkpointLocation", f"{out}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
 def _events_stream(spark, d):
     kind = spark.read.parquet(f"{d}/events.parquet").schema
+    there = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
+    if there.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(there).isDirectory():
+        return spark.readStream.schema(kind).parquet(f"{d}/events.parquet")
     return spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(d)  # a source reads folders
 
 
-@query()
+@query("""SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS "end", event_type || '/' || CAST(user_id % 10 AS VARCHAR) AS endpoint, count(*) AS calls,
+  count(*) FILTER (event_type = 'error') AS errors, CAST(sum(CAST(floor(value) AS BIGINT) % 50) AS BIGINT) AS rows FROM events GROUP BY 1, 2, 3""")
 def stream_log_rates(spark, d):
+    """All windows, the last ones included: the drained stream gives its whole result."""
     s = _events_stream(spark, d).select(F.col("ts").cast("timestamp").alias("fetched_at"), F.concat_ws("/", "event_type", (F.col("user_id") % 10).cast("string")).alias("endpoint"), F.when(F.col("event_type") == "error", 500).otherwise(200).alias("http_status"), (F.floor("value") % 50).alias("rows_returned"))
-    return _drained(spark, streams.stream_log_rates(s, "1 hour"), "log-rates")
+    return _drained(spark, streams.stream_log_rates(s, "1 hour"), "log-rates", "complete")
 
 
 @query("SELECT event_id FROM events GROUP BY event_id")

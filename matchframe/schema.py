@@ -18,13 +18,35 @@ FETCH_LOG = "id long, fetched_at timestamp, endpoint string, params string, http
 #: Stages from shallow to deep, and the depth of raw round names.
 STAGES = ("R128", "R64", "R32", "R16", "QF", "SF", "F", "W")
 ROUND_DEPTHS = {"First": 1, "Second": 2, "Third": 3, "Fourth": 4, "1/8": 4, "1/4": 5, "1/2": 6, "Final": 7}
-#: The stage of the first round of each draw, and the rounds it has.
-DRAWS = {
-    128: ("R128", ("First", "Second", "Third", "Fourth", "1/4", "1/2", "Final"), {"1/8": "R16"}),
-    96: ("R64", ("Second", "Third", "Fourth", "1/4", "1/2", "Final"), {}),
-    64: ("R64", ("First", "Second", "Third", "1/4", "1/2", "Final"), {}),
-    32: ("R32", ("First", "Second", "1/4", "1/2", "Final"), {}),
-}
+#: Draw, round, stage played and stage reached by winning. The first round of a 96 draw has byes and leads nowhere new.
+ROUNDS = (
+    (128, "First", "R128", "R64"),
+    (128, "Second", "R64", "R32"),
+    (128, "Third", "R32", "R16"),
+    (128, "Fourth", "R16", "QF"),
+    (128, "1/8", "R16", "QF"),
+    (128, "1/4", "QF", "SF"),
+    (128, "1/2", "SF", "F"),
+    (128, "Final", "F", "W"),
+    (96, "First", "R64", "R64"),
+    (96, "Second", "R64", "R32"),
+    (96, "Third", "R32", "R16"),
+    (96, "Fourth", "R16", "QF"),
+    (96, "1/4", "QF", "SF"),
+    (96, "1/2", "SF", "F"),
+    (96, "Final", "F", "W"),
+    (64, "First", "R64", "R32"),
+    (64, "Second", "R32", "R16"),
+    (64, "Third", "R16", "QF"),
+    (64, "1/4", "QF", "SF"),
+    (64, "1/2", "SF", "F"),
+    (64, "Final", "F", "W"),
+    (32, "First", "R32", "R16"),
+    (32, "Second", "R16", "QF"),
+    (32, "1/4", "QF", "SF"),
+    (32, "1/2", "SF", "F"),
+    (32, "Final", "F", "W"),
+)
 #: Event types that count as tour level.
 TOUR_TIERS = ("GS", "M1000", "W1000", "M500", "W500", "M250", "W250", "ATPFinals", "WTAFinals")
 #: Ranking points by type and stage.
@@ -47,8 +69,16 @@ MODEL_POINTS = {
     "W500": {"W": 500, "F": 325, "SF": 195, "QF": 108, "R16": 60, "R32": 30, "R64": 5},
     "W250": {"W": 250, "F": 163, "SF": 98, "QF": 54, "R16": 30, "R32": 17, "R64": 3},
 }
-#: Highest rank of a band -> chance in percent of each final stage, W first.
-BANDS = {1: (35, 25, 20, 12, 5, 2, 1), 2: (22, 28, 25, 16, 6, 2, 1), 4: (14, 22, 28, 22, 9, 3, 2), 8: (8, 15, 25, 28, 14, 7, 3), 16: (4, 9, 18, 27, 24, 13, 5), 32: (2, 5, 10, 20, 28, 22, 13), 2147483647: (0, 1, 3, 10, 22, 32, 32)}
+#: Lowest and highest rank of a band and its chances in percent to end at each stage.
+BANDS = (
+    (-2147483648, 1, {"W": 35, "F": 25, "SF": 20, "QF": 12, "R16": 5, "R32": 2, "R64": 1}),
+    (2, 2, {"W": 22, "F": 28, "SF": 25, "QF": 16, "R16": 6, "R32": 2, "R64": 1}),
+    (3, 4, {"W": 14, "F": 22, "SF": 28, "QF": 22, "R16": 9, "R32": 3, "R64": 2}),
+    (5, 8, {"W": 8, "F": 15, "SF": 25, "QF": 28, "R16": 14, "R32": 7, "R64": 3}),
+    (9, 16, {"W": 4, "F": 9, "SF": 18, "QF": 27, "R16": 24, "R32": 13, "R64": 5}),
+    (17, 32, {"W": 2, "F": 5, "SF": 10, "QF": 20, "R16": 28, "R32": 22, "R64": 13}),
+    (33, 2147483647, {"W": 0, "F": 1, "SF": 3, "QF": 10, "R16": 22, "R32": 32, "R64": 32}),
+)
 MODEL_STAGES = ("W", "F", "SF", "QF", "R16", "R32", "R64")
 #: Rolling periods in days.
 WINDOWS = {"T12M": 365, "T6M": 180, "T3M": 90}
@@ -58,16 +88,8 @@ COUNTRY_ALIASES = {"CRO": ("HRV",), "GBR": ("UK",), "USA": ("US",), "CHN": ("TPE
 
 
 def round_semantics(spark: SparkSession) -> DataFrame:
-    """draw_bucket, round, played, next: each round leads one stage further; a 96 draw's first round has byes and leads nowhere new."""
-    rows = [(96, "First", "R64", "R64")]
-    for draw, (first, rounds, extra) in DRAWS.items():
-        at = STAGES.index(first)
-        for k, name in enumerate(rounds):
-            # the last three rounds are those of every draw
-            stage = STAGES.index("QF") + k - (len(rounds) - 3) if k >= len(rounds) - 3 else at + k
-            rows.append((draw, name, STAGES[stage], STAGES[stage + 1]))
-        rows += [(draw, name, stage, STAGES[STAGES.index(stage) + 1]) for name, stage in extra.items()]
-    return spark.createDataFrame(rows, "draw_bucket int, round string, played string, next string")
+    """draw_bucket, round, played, next."""
+    return spark.createDataFrame(list(ROUNDS), "draw_bucket int, round string, played string, next string")
 
 
 def stage_depths(spark: SparkSession) -> DataFrame:
@@ -84,10 +106,7 @@ def points_long(spark: SparkSession, points: dict[str, dict[str, int]] = POINTS)
 
 def rank_bands(spark: SparkSession) -> DataFrame:
     """rank_lo, rank_hi, stage, prob_pct."""
-    rows, low = [], -2147483648
-    for high, chances in BANDS.items():
-        rows += [(low, high, s, p) for s, p in zip(MODEL_STAGES, chances)]
-        low = high + 1 if high < 2147483647 else high
+    rows = [(low, high, stage, chance) for low, high, chances in BANDS for stage, chance in chances.items()]
     return spark.createDataFrame(rows, "rank_lo int, rank_hi int, stage string, prob_pct int")
 
 

@@ -39,32 +39,40 @@ def _field(name: str) -> Column:
     return F.get_json_object("item", f"$.{name}")
 
 
-def round_of(item: Column) -> Column:
+def round_of(whole: Column) -> Column:
     """A round is a string or an object with a shortName or a name."""
-    whole = F.get_json_object(item, "$.round")
-    return F.coalesce(F.get_json_object(item, "$.round.shortName"), F.get_json_object(item, "$.round.name"), F.when(~whole.startswith("{"), whole))
+    return F.coalesce(F.get_json_object(whole, "$.shortName"), F.get_json_object(whole, "$.name"), F.when(~whole.startswith("{"), whole))
+
+
+_SIDES = {"stat_p1": ("stat1", "p1", "1", "player1"), "stat_p2": ("stat2", "p2", "2", "player2")}
+_STAT = "struct<" + ",".join(f"`{n}`:string" for names in _SIDES.values() for n in names) + ">"
+#: All fields as text, as their types are not stable; objects among them are kept as text.
+_MATCH = f"""id string, matchId string, tournament struct<id:string,name:string,tournamentName:string,courtId:string>, `date` string, matchDate string, round string,
+player1Id string, p1Id string, player2Id string, p2Id string, match_winner string, winnerId string, winner_id string, result string, score string, bestOf string, best_of string, stat {_STAT}, stats {_STAT}"""
 
 
 def to_matches(items: DataFrame, tour: str | Column) -> DataFrame:
-    """The canonical projection of match items. Rows without an id, a player or a whole date go."""
-    stat = F.coalesce(_field("stat"), _field("stats"))
-    blob = lambda *names: F.from_json(F.coalesce(*(F.nullif(F.get_json_object(stat, f"$.{n}"), F.lit("{}")) for n in names)), schema.STATS)
-    day = first_truthy(_field("date"), _field("matchDate"))
-    out = items.select(
-        first_truthy(_field("id"), _field("matchId")).alias("id"),
-        _field("tournament.id").try_cast("int").alias("tournament_api_id"),
-        first_truthy(_field("tournament.name"), _field("tournament.tournamentName")).alias("tournament_name"),
+    """The canonical projection of match items, each parsed once. Rows without an id, a player or a whole date go."""
+    of = lambda name: F.col(f"_m.{name}")
+    filled = lambda blob: F.nullif(blob, F.lit("{}"))
+    # the stats object is the whole of stat or, without one, of stats
+    blob = lambda names: F.from_json(F.when(of("stat").isNotNull(), F.coalesce(*(filled(of("stat")[n]) for n in names))).otherwise(F.coalesce(*(filled(of("stats")[n]) for n in names))), schema.STATS)
+    day = first_truthy(of("date"), of("matchDate"))
+    out = items.withColumn("_m", F.from_json("item", _MATCH)).select(
+        first_truthy(of("id"), of("matchId")).alias("id"),
+        of("tournament.id").try_cast("int").alias("tournament_api_id"),
+        first_truthy(of("tournament.name"), of("tournament.tournamentName")).alias("tournament_name"),
         F.when(F.length(day) >= 10, F.substring(day, 1, 10).try_cast("date")).alias("date"),
-        round_of(F.col("item")).alias("round"),
-        surface_of(_field("tournament.courtId").try_cast("int")).alias("surface"),
+        round_of(of("round")).alias("round"),
+        surface_of(of("tournament.courtId").try_cast("int")).alias("surface"),
         (F.lit(tour) if isinstance(tour, str) else tour).alias("tour"),
-        first_truthy(_field("player1Id"), _field("p1Id")).try_cast("long").alias("p1_id"),
-        first_truthy(_field("player2Id"), _field("p2Id")).try_cast("long").alias("p2_id"),
-        first_truthy(_field("match_winner"), _field("winnerId"), _field("winner_id")).try_cast("long").alias("winner_id"),
-        first_truthy(_field("result"), _field("score")).alias("score"),
-        first_truthy(_field("bestOf"), _field("best_of")).try_cast("int").alias("best_of"),
-        blob("stat1", "p1", "1", "player1").alias("stat_p1"),
-        blob("stat2", "p2", "2", "player2").alias("stat_p2"),
+        first_truthy(of("player1Id"), of("p1Id")).try_cast("long").alias("p1_id"),
+        first_truthy(of("player2Id"), of("p2Id")).try_cast("long").alias("p2_id"),
+        first_truthy(of("match_winner"), of("winnerId"), of("winner_id")).try_cast("long").alias("winner_id"),
+        first_truthy(of("result"), of("score")).alias("score"),
+        first_truthy(of("bestOf"), of("best_of")).try_cast("int").alias("best_of"),
+        blob(_SIDES["stat_p1"]).alias("stat_p1"),
+        blob(_SIDES["stat_p2"]).alias("stat_p2"),
         F.col("item").alias("raw"),
     )
     return out.where("id is not null and p1_id is not null and p2_id is not null and date is not null")
@@ -98,7 +106,7 @@ def load_events(raw: DataFrame, points: DataFrame) -> DataFrame:
         F.col("endDate").try_cast("date").alias("end_date"), F.col("apiId.atp").cast("int").alias("api_id_atp"), F.col("apiId.wta").cast("int").alias("api_id_wta"), F.coalesce("active", F.lit(False)).alias("active"),
     )
     keyed = rows.withColumn("points_type", points_type(F.col("type"), F.col("draw_size")))
-    return keyed.join(F.broadcast(tables), "points_type", "left").drop("points_type")  # a row for each type
+    return keyed.join(tables, "points_type", "left").drop("points_type")
 
 
 def points_from_json(raw: DataFrame, column: str = "value") -> DataFrame:

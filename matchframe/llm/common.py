@@ -43,11 +43,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_at_end(spark: SparkSession, path: str) -> str:
+    """Have path deleted when the driver's JVM ends."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop.getParent())
+    files.deleteOnExit(hadoop)
+    return path
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Batches of whole texts go to Python by at most 4 MB, whatever the length of a text, so that neither side of the pipe fills.
 

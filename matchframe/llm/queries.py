@@ -46,7 +46,12 @@ def op7_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents"))
+    """Beside the contract's columns next_shard: where the row goes once the map is grown by a shard."""
+    path = sharding.new_map_path(spark)
+    placed = sharding.shard(table(spark, sf_dir, "documents"), map_path=path)
+    grown = sharding.slot_map(spark, path, sharding.grow(spark, path, 40))
+    grown = grown.select("virtual_slot", F.col("shard").alias("next_shard"))
+    return placed.join(F.broadcast(grown), "virtual_slot")  # one row per slot
 
 
 def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -267,6 +267,55 @@ def test_growth_moves_slots_only_to_the_new_shard():
     assert sum(r[3] for r in moved) == pytest.approx(share, rel=0.03)
 
 
+def test_edits_move_no_more_than_needed():
+    old = sharding.balanced_map([(s, 1000 + s % 13, 1) for s in range(4096)], 10, 4096)
+    sizes = [(s, n) for _, s, _, n, _ in old]
+    assert sharding.edited_map(old, [(s, n, 1) for s, n in sizes], 10) == old
+    first = {r[1] for r in old if r[2] == 0}
+    new = sharding.edited_map(old, [(s, 2 * n if s in first else n, 1) for s, n in sizes], 10)
+    totals = collections.Counter()
+    for _, _, shard, size, _ in new:
+        totals[shard] += size
+    assert {r[0] for r in new} == {2} and max(totals.values()) < 1.011 * min(totals.values())
+    moved = [b for a, b in zip(old, new) if a[2] != b[2]]
+    assert {r[1] for r in moved} <= first and sum(r[3] for r in moved) < 0.9 * 2 * sum(n for s, n in sizes if s in first)
+    fewer = sharding.edited_map(old, [(s, n, 1) for s, n in sizes], 9)
+    assert all(r[2] < 9 for r in fewer) and all(a[2] == b[2] for a, b in zip(old, fewer) if a[2] < 9)
+    assert sharding.edited_map([(1, 0, 0, 0, 0), (1, 1, 1, 0, 0)], [(0, 5, 1)], 2)[0][2] == 0
+    assert sharding.edited_map([(1, 0, 0, 0, 0)], [], 3) == [(1, 0, 0, 0, 0)]
+
+
+def test_map_is_stored_and_edited_on_the_next_run(spark, tmp_path):
+    path = str(tmp_path / "map")
+    docs = spark.createDataFrame([(k, "x" * (k % 977)) for k in range(20_000)], "doc_id long, text string")
+    run = lambda d: {r.doc_id: r for r in sharding.shard(d, 8, 256, map_path=path).collect()}
+    first, again = run(docs), run(docs)
+    assert {r.map_version for r in first.values()} == {1} and first == again
+    more = run(docs.union(docs.where("doc_id < 9000").selectExpr("doc_id + 100000", "text || 'y'")))
+    assert {r.map_version for r in more.values()} == {2}
+    sizes = collections.Counter()
+    for r in more.values():
+        sizes[r.shard] += r.size
+    assert len(sizes) == 8 and max(sizes.values()) < 1.02 * min(sizes.values())
+    assert sum(first[k].shard == more[k].shard for k in first) > 0.9 * len(first)
+    assert sharding.grow(spark, path, 8) == 3 and sharding.slot_map(spark, path).count() == 256
+    assert sharding.slot_map(spark, path, 1).select("version").distinct().collect()[0][0] == 1
+    with pytest.raises(ValueError):
+        sharding.shard(docs, 8, 128, map_path=path)
+    assert sharding.slot_map(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_shard_query_against_brute_force(spark, tmp_path):
+    docs = [(1, None), (2, ""), (3, "é"), (4, "same"), (5, "same"), (None, "x")]
+    spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "7 AS virtual_slot").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op8_virtual_slots(spark, str(tmp_path)).collect()
+    data = lambda t: (t or "").encode()
+    want = sorted((k is None, k or 0, len(data(t)) + 16, zlib.crc32(data(t))) for k, t in docs)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.size, r.text_crc32) for r in rows) == want
+    assert len({(r.shard, r.slot) for r in rows}) == len(docs) and {(r.law, r.grown_shard) for r in rows} == {("bytes", None)}
+    assert all(0 <= r.shard < 40 and r.next_shard in (r.shard, 40) for r in rows)
+
+
 # Quality rules
 
 

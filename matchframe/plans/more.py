@@ -23,9 +23,7 @@ ba AS (SELECT * FROM rw WHERE l_linestatus = 'F' AND ord = 1), bt AS (SELECT * F
 
 def _split(spark, d):
     raw = table(spark, d, "fx_raw")
-    raw.createOrReplaceTempView("split_raw")
-    sql = SPLIT.split("rw AS (", 1)[1].rsplit("),\nba AS", 1)[0].replace("fx_raw", "split_raw")
-    rows = spark.sql(sql)
+    rows = spark.sql(SPLIT.split("rw AS (", 1)[1].rsplit("),\nba AS", 1)[0].replace("fx_raw", "{raw}"), raw=raw)
     return rows.where("l_linestatus = 'F' AND ord = 1").drop("l_linestatus", "ord"), rows.where("l_linestatus = 'O'").drop("l_linestatus")
 
 
@@ -445,12 +443,19 @@ def publish_carry_frozen(spark, d):
     return merge.carry_frozen(best.withColumn("best", F.col("best") + 1), best, "1996")
 
 
+def shared_folder(spark) -> str:
+    """The shared folder of the cluster; one of the driver's machine under a local master only."""
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return there or tempfile.mkdtemp(prefix="spark-checkpoint-")
+
+
 def _drained(spark, stream, name: str, mode: str = "append"):
     """The rows of a stream that has run over all that is there."""
     from uuid import uuid4
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    out = f"{root}/{name}-{uuid4().hex}"
+    out = f"{shared_folder(spark)}/{name}-{uuid4().hex}"
     if mode == "complete":  # each batch gives the whole result so far
         sink = stream.writeStream.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{out}/rows"))
     else:
@@ -487,8 +492,7 @@ def stream_ingest(spark, d):
     from uuid import uuid4
 
     _, batch = _split(spark, d)
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    out = f"{root}/ingest-{uuid4().hex}"
+    out = f"{shared_folder(spark)}/ingest-{uuid4().hex}"
     rows = batch.select("id", "round", "winner_id", "score", F.lit(None).cast("timestamp").alias("fetched_at"), F.lit(None).cast("string").alias("stat_p1"), F.lit(None).cast("string").alias("stat_p2"), "ord")
     rows.write.parquet(f"{out}/landed")
     source = spark.readStream.schema(rows.schema).parquet(f"{out}/landed")

@@ -78,9 +78,10 @@ def to_matches(items: DataFrame, tour: str | Column) -> DataFrame:
     return out.where("id is not null and p1_id is not null and p2_id is not null and date is not null")
 
 
-def to_rankings(items: DataFrame) -> DataFrame:
-    """rank, points, race_points, player_id, player_name, country of ranking items."""
+def to_rankings(items: DataFrame, *keep: str) -> DataFrame:
+    """rank, points, race_points, player_id, player_name, country of ranking items, after the columns to keep."""
     return items.select(
+        *keep,
         first_truthy(_field("position"), _field("currentRank")).try_cast("int").alias("rank"),
         F.coalesce(first_truthy(_field("point"), _field("points")).try_cast("int"), F.lit(0)).alias("points"),
         F.coalesce(first_truthy(_field("racePoints"), _field("points")).try_cast("int"), F.lit(0)).alias("race_points"),

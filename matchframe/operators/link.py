@@ -52,9 +52,14 @@ def link(left: DataFrame, right: DataFrame) -> DataFrame:
     chosen = F.when(single & named, F.col("only")).when(~single & (F.col("n_same") == 1), F.col("same_pid"))
     surname = counts.select("bid", chosen.alias("pid"), kind.alias("kind"), F.lit(3).alias("place"))
 
-    words = lambda k: F.explode(F.array_distinct(F.split(k, " "))).alias("word")
-    met = bios.select("bid", "bcountry", F.size(F.split("bset", " ")).alias("need"), words("bkey")).join(regs.select("pid", "rcountry", words("rkey")), "word")
-    whole = met.groupBy("bid", "pid", "need", "bcountry", "rcountry").agg(F.count(F.lit(1)).alias("have")).where("have = need").withColumn("same", same)
+    # a name is in another only if its rarest word is: one join on that word, then the whole sets are compared
+    words = lambda k: F.array_distinct(F.split(k, " "))
+    spread = regs.select("pid", "rcountry", words("rkey").alias("rwords")).withColumn("word", F.explode("rwords"))
+    held = spread.groupBy("word").agg(F.count(F.lit(1)).alias("held"))
+    asked = bios.select("bid", "bcountry", words("bkey").alias("bwords")).withColumn("word", F.explode("bwords")).join(held, "word", "left")
+    rarest = asked.groupBy("bid", "bcountry", "bwords").agg(F.min_by("word", F.struct(F.coalesce("held", F.lit(0)), "word")).alias("word"))
+    met = rarest.join(spread, "word").where(F.size(F.array_except("bwords", "rwords")) == 0)
+    whole = met.select("bid", "pid", same.alias("same")).distinct()
     found = whole.groupBy("bid").agg(F.count(F.lit(1)).alias("n"), F.count_if("same").alias("n_same"), F.min(F.when(F.col("same"), F.col("pid"))).alias("same_pid"), F.min("pid").alias("only"))
     one, alone, many = F.col("n_same") == 1, (F.col("n") == 1) & (F.col("n_same") == 0), F.col("n_same") > 1
     subset = found.where(one | alone | many).select("bid", F.when(one, F.col("same_pid")).when(alone, F.col("only")).alias("pid"), F.when(one, "subset_match+country").when(alone, "subset_match_country_diff").otherwise("ambiguous_subset").alias("kind"), F.lit(4).alias("place"))

@@ -339,7 +339,8 @@ ad AS (SELECT *, round(least(0.95, greatest(0.05, CASE WHEN a_wins IS NOT NULL T
 
 
 @query("WITH " + MATCHUPS + """ SELECT tour, a_bio_id, b_bio_id, surface, CAST(prob AS DOUBLE) AS prob, CASE WHEN prob >= 0.5 THEN a_bio_id ELSE b_bio_id END AS pick, CASE WHEN greatest(prob, 1 - prob) >= 0.70 THEN 'High' WHEN greatest(prob, 1 - prob) >= 0.58 THEN 'Moderate' ELSE 'Toss-up' END AS confidence,
-  greatest(10, 100 - 2 * ra) AS a_ranking, greatest(10, 100 - 2 * rb) AS b_ranking, CAST(CASE WHEN a_wins IS NOT NULL THEN round(100 * a_wins / (a_wins + b_wins + CAST(0.001 AS DOUBLE)), 3) ELSE 50.0 END AS DOUBLE) AS a_h2h FROM ad""")
+  greatest(10, 100 - 2 * ra) AS a_ranking, greatest(10, 100 - 2 * rb) AS b_ranking, CAST(fa AS BIGINT) AS a_form, CAST(fb AS BIGINT) AS b_form, sa AS a_surface, sb AS b_surface,
+  CAST(CASE WHEN a_wins IS NOT NULL THEN round(100 * a_wins / (a_wins + b_wins + CAST(0.001 AS DOUBLE)), 3) ELSE 50.0 END AS DOUBLE) AS a_h2h, CAST(CASE WHEN a_wins IS NOT NULL THEN round(100 * b_wins / (a_wins + b_wins + CAST(0.001 AS DOUBLE)), 3) ELSE 50.0 END AS DOUBLE) AS b_h2h FROM ad""")
 def project_win_probability(spark, d):
     ranked = _ranked(spark, d).select("tour", "bio_id", "rank")
     players = _players(spark, d).select("tour", "bio_id", "surf_h", "surf_c", "surf_g").join(ranked, ["tour", "bio_id"]).join(history_form(spark, d).drop("form"), ["tour", "bio_id"], "left")

@@ -231,7 +231,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(31))) >> np.uint64(1)
 
 
-def _key(hashes: np.ndarray) -> int:
+def set_key(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes()) - (1 << 63)
 
 
@@ -284,19 +284,19 @@ def prefixes(docs: DataFrame) -> DataFrame:
                 heads.append(s[:size].view(np.int64))
             ends = np.cumsum([0] + [len(h) for h in heads]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(parity_map, sets), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads)))],
+                [batch.column(0), batch.column(1), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(parity_map, sets), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads)))],
                 ["doc_id", "th", "key", "n", "bits", "prefix"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), _text_hash(), "text").mapInArrow(run, "doc_id long, th long, key long, n long, bits binary, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), text_hash(), "text").mapInArrow(run, "doc_id long, th long, key long, n long, bits binary, prefix array<long>")
 
 
-def _text_hash() -> Column:
+def text_hash() -> Column:
     """Tells rows of one id apart by their texts; a null text has a hash of its own."""
     return F.xxhash64("text", F.col("text").isNull())
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     """Columns as rows of a matrix, in parts that do not cut a run of equal values of the first column."""
     held: list[np.ndarray] = []
     size = 0
@@ -313,9 +313,9 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield np.concatenate(held, axis=1)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows whose shingle is in the prefix of more than one set."""
-    for rows in _whole_groups(batches):
+    for rows in whole_groups(batches):
         same = rows[0][1:] == rows[0][:-1]
         kept = rows[:, np.append(same, False) | np.append(False, same)]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in kept], ["h", "n", "key"])
@@ -325,7 +325,7 @@ def _meeting(lags: range | None):
     """Pairs of sets that share a shingle of their prefixes and can be similar: neighbours by size only, or all of different components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, n, key, label in _whole_groups(batches):
+        for h, n, key, label in whole_groups(batches):
             left, right, live, lag = [], [], np.arange(len(h)), 1
             while len(live) and (lags is None or lag in lags):
                 live = live[live + lag < len(h)]
@@ -354,7 +354,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, distinct: DataFrame) -> DataFra
     """The pairs of keys whose sets have Jaccard similarity 0.8 or more, by the sets themselves. Most others are ruled out by their parity maps before any set is moved."""
     side = lambda name: distinct.select(F.col("key").alias(name), F.col("n").alias(f"{name}n"), F.col("bits").alias(f"{name}b"))
     met = pairs.distinct().join(side("u"), "u").join(side("v"), "v").select("u", "v", "un", "vn", "ub", "vb")
-    pairs = materialise(met.mapInArrow(_able, "u long, v long"), "pairs")
+    return confirmed(docs, materialise(met.mapInArrow(_able, "u long, v long"), "pairs"), distinct)
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame, distinct: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The pairs of keys whose whole sets of shingles have Jaccard similarity 0.8 or more. Only texts of such keys are read again; distinct has key, doc_id, th."""
     keys = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
     wanted = materialise(distinct.join(keys, "key", "left_semi").select("doc_id", "th"), "wanted")
     if wanted.count() <= BROADCAST_ROWS:  # of checked size
@@ -362,10 +366,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, distinct: DataFrame) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts_of(batches, 0):
-            sets = shingle_sets(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["key", "hashes"])
+            sets = shingle_sets(batch.column(0), width)
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["key", "hashes"])
 
-    texts = docs.select(F.col("doc_id").cast("long"), _text_hash().alias("th"), "text").join(wanted, ["doc_id", "th"], "left_semi").select("text")
+    texts = docs.select(F.col("doc_id").cast("long"), text_hash().alias("th"), "text").join(wanted, ["doc_id", "th"], "left_semi").select("text")
     sets = materialise(texts.mapInArrow(run, "key long, hashes array<long>").dropDuplicates(["key"]), "sets")
     both = pairs.join(sets.select(F.col("key").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("hashes").alias("b")), "v")
     return both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
@@ -388,7 +392,7 @@ def similar(docs: DataFrame) -> DataFrame:
         copies = F.broadcast(copies)
     once = prints.join(copies, ["doc_id", "th"], "left_anti").select("n", "key", F.explode_outer("prefix").alias("h")).where("h is not null")
     by_shingle = lambda rows: rows.repartition("h").sortWithinPartitions("h", "n", "key")
-    shared = materialise(by_shingle(once.select("h", "n", "key")).mapInArrow(_shared, "h long, n long, key long"), "shared-shingles")
+    shared = materialise(by_shingle(once.select("h", "n", "key")).mapInArrow(shared_rows, "h long, n long, key long"), "shared-shingles")
     near = by_shingle(shared.withColumn("label", F.col("key"))).mapInArrow(_meeting(range(1, 2)), "u long, v long")
     first = materialise(_verified(docs, near, distinct), "links")
     named = components(first).select(F.col("u").alias("key"), "component")
@@ -409,5 +413,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     gone = materialise(similar(docs).where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct(), "copies")
     few = gone.count() <= BROADCAST_ROWS  # of checked size; beyond it the texts are shuffled
-    row = (docs["doc_id"].cast("long") == F.col("_gone_id")) & (F.xxhash64(docs["text"], docs["text"].isNull()) == F.col("_gone_th"))
+    row = (docs["doc_id"].cast("long") == gone["_gone_id"]) & (F.xxhash64(docs["text"], docs["text"].isNull()) == gone["_gone_th"])
     return docs.join(F.broadcast(gone) if few else gone, row, "left_anti")

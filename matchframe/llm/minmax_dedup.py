@@ -6,14 +6,14 @@ estimate of the Jaccard similarity, of lower variance than that of as many indep
 put two sets of similarity 0.8 in one bucket with probability 1 - (1 - 0.8^5)^51, all but 2 in 10^9; pairs that meet
 are compared by all values of their signatures, and those that may be similar by their whole sets.
 
-Equal sets are one node, and rows of one id are one node. First neighbours in each bucket, in an order of its own, are
+Equal sets are one node, and rows of one id are one node. First neighbours in each bucket, by hash, are
 compared, which joins a large group of near copies; then, in buckets with several components left, sets of different
 components, inside the task: pairs leave it only where signatures agree. Of such buckets those with more than `crowd`
 rows are split by every other band (a pair of similarity 0.8 shares 17 of the 51 on average, and only its own with
 2 in 10^9).
 
 Null and empty texts have no shingles and are linked with nothing. A text of fewer words than a shingle is one shingle.
-A null id is never a node: its row gets the component of its set. An empty table gives an empty result. Columns
+A null id is never a node: its row gets the component of its set and is kept. An empty table gives an empty result. Columns
 other than id and text are not read.
 """
 
@@ -97,7 +97,7 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets next to one another in a bucket."""
-    for h, _, n, key in whole_groups(batches):
+    for h, key, n in whole_groups(batches):
         low, high = np.minimum(n[1:], n[:-1]), np.maximum(n[1:], n[:-1])
         at = np.flatnonzero((h[1:] == h[:-1]) & (5 * low >= 4 * high))
         pairs = np.unique(np.stack([key[at], key[at + 1]]), axis=1)
@@ -169,9 +169,9 @@ def links(docs: DataFrame, distinct: DataFrame, crowd: int = CROWD) -> DataFrame
     every = distinct.select("n", "key", F.explode("bands").alias("h")).select("h", "n", "key")
     shared = every.repartition("h").sortWithinPartitions("h").mapInArrow(shared_rows, "h long, n long, key long")
     shared = materialise(shared, "shared-buckets")
-    # neighbours in an order of each bucket's own; of each set the most similar one first, so that few sets are moved for a large group
-    shuffled = shared.select("h", F.xxhash64("h", "key").alias("order"), "n", "key").repartition("h").sortWithinPartitions("h", "order")
-    near = shuffled.mapInArrow(_neighbours, "u long, v long").distinct()
+    # neighbours in one order for all buckets, so that sets which meet often meet in the same pairs; of each set the most similar one first
+    ordered = shared.select("h", "key", "n").repartition("h").sortWithinPartitions("h", "key")
+    near = ordered.mapInArrow(_neighbours, "u long, v long").distinct()
     near = near.join(sig("u"), "u").join(sig("v"), "v").select("u", "v", "us", "vs").mapInArrow(_alike, "u long, v long, equal long")
     near = materialise(near, "pairs")
     ends = near.select(F.col("u").alias("key"), F.struct("equal", "u", "v").alias("p")).union(near.select("v", F.struct("equal", "u", "v")))

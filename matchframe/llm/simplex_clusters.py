@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 SCALE, LARGEST = 1024, 1 << 27
+#: Stored vectors: components moved above zero and big-endian, so that their bytes have the order of the components.
+_STORED, _ABOVE = ">i8", 1 << 62
 #: Relative room for rounding in the bounds, which are floating-point numbers; the comparison itself is not.
 ROOM = 1e-9
 
@@ -86,6 +88,10 @@ def _matrix(column: pa.Array, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1)
 
 
+def _vectors(column: pa.Array) -> np.ndarray:
+    return _matrix(column, _STORED).astype(np.int64) - _ABOVE
+
+
 def kept(rows: DataFrame, size: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, x (the integer components, 8 bytes each)."""
     good = F.col("x").isNotNull() & (F.size("x") == size) & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -96,7 +102,7 @@ def kept(rows: DataFrame, size: int = 64, id_col: str = "vec_id", vector_col: st
             x = np.floor(SCALE * batch.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(-1, size)
             if len(x) and np.abs(x).max() >= LARGEST:
                 raise ValueError("a component is too large for exact distances in a long")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x.astype("<i8")], pa.binary())], ["vec_id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in (x.astype(np.int64) + _ABOVE).astype(_STORED)], pa.binary())], ["vec_id", "x"])
 
     return rows.mapInArrow(run, "vec_id long, x binary")
 
@@ -105,7 +111,7 @@ def first_vectors(vectors: DataFrame, n: int, seed: int = 3) -> np.ndarray:
     """The n vectors whose ids have the smallest hashes, in that order."""
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     rows = vectors.where("vec_id is not null").select("x", order.alias("at")).orderBy("at", "x").limit(n).collect()  # n rows
-    return np.array([np.frombuffer(r.x, "<i8") for r in rows], np.int64)
+    return _vectors(pa.array([r.x for r in rows], pa.binary())) if rows else np.empty((0, 0), np.int64)
 
 
 def projected(vectors: DataFrame, simplex: Simplex) -> DataFrame:
@@ -113,7 +119,7 @@ def projected(vectors: DataFrame, simplex: Simplex) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            apexes = simplex.apexes(squares(_matrix(batch.column(1), "<i8"), simplex.pivots).astype(float)) if batch.num_rows else []
+            apexes = simplex.apexes(squares(_vectors(batch.column(1)), simplex.pivots).astype(float)) if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.astype("<f8").tobytes() for a in apexes], pa.binary())], ["vec_id", "x", "apex"])
 
     return vectors.mapInArrow(run, "vec_id long, x binary, apex binary")
@@ -126,7 +132,7 @@ def moved(vectors: DataFrame, centroids: np.ndarray, simplex: Simplex) -> np.nda
         sums, counts = np.zeros(centroids.shape, np.int64), np.zeros(len(centroids), np.int64)
         for batch in batches:
             if batch.num_rows:
-                x = _matrix(batch.column(0), "<i8")
+                x = _vectors(batch.column(0))
                 number, _, _ = nearest(x, _matrix(batch.column(1), "<f8"), centroids, simplex)
                 counts += np.bincount(number, minlength=len(centroids))
                 np.add.at(sums, number, x)
@@ -143,7 +149,7 @@ def moved(vectors: DataFrame, centroids: np.ndarray, simplex: Simplex) -> np.nda
     return out
 
 
-def clusters(rows: DataFrame, k: int = 8, rounds: int = 10, pivots: int = 6, size: int = 64, seed: int = 3, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def clusters(rows: DataFrame, k: int = 8, rounds: int = 10, pivots: int = 8, size: int = 64, seed: int = 3, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256 for every vector that is kept."""
     vectors = materialise(kept(rows, size, id_col, vector_col), "vectors")
     centroids = first_vectors(vectors, k, seed)
@@ -151,7 +157,7 @@ def clusters(rows: DataFrame, k: int = 8, rounds: int = 10, pivots: int = 6, siz
     if not len(centroids):
         none = vectors.where(F.lit(False)).select("vec_id", F.lit(0).alias("cluster"), F.lit(0).cast("long").alias("distance"))
         return none.select("*", F.col("distance").alias("cluster_inertia"), F.col("distance").alias("inertia"), F.lit("").alias("centroid_sha256"))
-    simplex = Simplex(first_vectors(vectors, pivots, seed + 1))
+    simplex = Simplex(centroids[:pivots])  # the first centroids: later ones stay near them
     vectors = materialise(projected(vectors, simplex), "apexes")
     for _ in range(rounds):
         before, centroids = centroids, moved(vectors, centroids, simplex)
@@ -161,7 +167,7 @@ def clusters(rows: DataFrame, k: int = 8, rounds: int = 10, pivots: int = 6, siz
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                number, exact, _ = nearest(_matrix(batch.column(1), "<i8"), _matrix(batch.column(2), "<f8"), centroids, simplex)
+                number, exact, _ = nearest(_vectors(batch.column(1)), _matrix(batch.column(2), "<f8"), centroids, simplex)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(number.astype(np.int32)), pa.array(exact)], ["vec_id", "cluster", "distance"])
 
     assigned = materialise(vectors.mapInArrow(run, schema), "assigned")

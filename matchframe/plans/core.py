@@ -179,7 +179,8 @@ def history_events(spark, d):
     return history.event_history(_plain(spark, d), _players(spark, d))
 
 
-@query("WITH " + HIST + " SELECT h.*, p.round AS last_round, p.won AS last_won FROM hi h LEFT JOIN hi p ON p.tour = h.tour AND p.bio_id = h.bio_id AND p.event_name = h.event_name AND p.year + 1 = h.year")
+@query("WITH " + HIST + """ SELECT hi.*, CASE WHEN lag(year) OVER w = year - 1 THEN lag(round) OVER w END AS last_round, CASE WHEN lag(year) OVER w = year - 1 THEN lag(won) OVER w END AS last_won
+FROM hi WINDOW w AS (PARTITION BY tour, bio_id, event_name ORDER BY year)""")
 def project_defending(spark, d):
     return project.defending(history_events(spark, d))
 

@@ -11,7 +11,6 @@ from ..fixtures import AS_OF, table
 from ..operators import catalog, link, merge, project, quality, ranks, season, sides
 from ..sinks import publish
 from ..sources import payloads
-from ..streaming import streams
 from .core import FORM, H2H, SIDES, SNAP, _matches, _plain, _players, _resolved, _values, h2h_pairs, history_form, history_recent, query
 
 BATCH = ("id", "tour", "tournament_api_id", "date", "round", "winner_id", "score", "stat_p1", "stat_p2", "fetched_at")
@@ -420,7 +419,7 @@ def log_credit(spark, d):
 
 
 @query("""SELECT 'newest_ranking' AS section, 'snapshot_date' AS key, CAST(max(snapshot_date) AS VARCHAR) AS value FROM fx_rankings UNION ALL SELECT 'rows', 'players', CAST(count(*) AS VARCHAR) FROM fx_players UNION ALL SELECT 'rows', 'matches', CAST(count(*) AS VARCHAR) FROM fx_matches
-UNION ALL SELECT 'active_event', e.id, CAST(count(r.id) AS VARCHAR) || ' ' || CAST(max(r.date) AS VARCHAR) FROM fx_events e LEFT JOIN fx_resolved r ON r.tournament_id = e.id WHERE e.active GROUP BY e.id
+UNION ALL SELECT 'active_event', e.id, CAST(count(r.id) AS VARCHAR) || ' ' || coalesce(CAST(max(r.date) AS VARCHAR), '-') FROM fx_events e LEFT JOIN fx_resolved r ON r.tournament_id = e.id WHERE e.active GROUP BY e.id
 UNION ALL SELECT * FROM (SELECT 'newest_match', id, CAST(date AS VARCHAR) FROM fx_matches ORDER BY date DESC, round DESC NULLS LAST, id DESC LIMIT 5) t""")
 def publish_summary(spark, d):
     m, e = _resolved(spark, d), table(spark, d, "fx_events")
@@ -450,52 +449,3 @@ def shared_folder(spark) -> str:
     if not there and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return there or tempfile.mkdtemp(prefix="spark-checkpoint-")
-
-
-def _drained(spark, stream, name: str, mode: str = "append"):
-    """The rows of a stream that has run over all that is there."""
-    from uuid import uuid4
-
-    out = f"{shared_folder(spark)}/{name}-{uuid4().hex}"
-    if mode == "complete":  # each batch gives the whole result so far
-        sink = stream.writeStream.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{out}/rows"))
-    else:
-        sink = stream.writeStream.format("parquet").option("path", f"{out}/rows")
-    sink.option("checkpointLocation", f"{out}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
-
-
-def _events_stream(spark, d):
-    kind = spark.read.parquet(f"{d}/events.parquet").schema
-    there = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
-    if there.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(there).isDirectory():
-        return spark.readStream.schema(kind).parquet(f"{d}/events.parquet")
-    return spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(d)  # a source reads folders
-
-
-@query("""SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS "end", event_type || '/' || CAST(user_id % 10 AS VARCHAR) AS endpoint, count(*) AS calls,
-  count(*) FILTER (event_type = 'error') AS errors, CAST(sum(CAST(floor(value) AS BIGINT) % 50) AS BIGINT) AS rows FROM events GROUP BY 1, 2, 3""")
-def stream_log_rates(spark, d):
-    """All windows, the last ones included: the drained stream gives its whole result."""
-    s = _events_stream(spark, d).select(F.col("ts").cast("timestamp").alias("fetched_at"), F.concat_ws("/", "event_type", (F.col("user_id") % 10).cast("string")).alias("endpoint"), F.when(F.col("event_type") == "error", 500).otherwise(200).alias("http_status"), (F.floor("value") % 50).alias("rows_returned"))
-    return _drained(spark, streams.stream_log_rates(s, "1 hour"), "log-rates", "complete")
-
-
-@query("SELECT event_id FROM events GROUP BY event_id")
-def stream_dedup(spark, d):
-    s = _events_stream(spark, d).select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    return _drained(spark, streams.stream_dedup(s, "ts", "36500 days", ["event_id"]), "dedup").select("event_id")
-
-
-@query("WITH " + SPLIT + """ SELECT id, (array_agg(round ORDER BY o))[1] AS round, arg_min(winner_id, o) FILTER (winner_id IS NOT NULL) AS winner_id, coalesce(arg_min(score, o) FILTER (score <> ''), '') AS score FROM (SELECT *, ord AS o FROM bt) t GROUP BY id""")
-def stream_ingest(spark, d):
-    """The late batch as landed files, merged by a stream into versions of a table."""
-    from uuid import uuid4
-
-    _, batch = _split(spark, d)
-    out = f"{shared_folder(spark)}/ingest-{uuid4().hex}"
-    rows = batch.select("id", "round", "winner_id", "score", F.lit(None).cast("timestamp").alias("fetched_at"), F.lit(None).cast("string").alias("stat_p1"), F.lit(None).cast("string").alias("stat_p2"), "ord")
-    rows.write.parquet(f"{out}/landed")
-    source = spark.readStream.schema(rows.schema).parquet(f"{out}/landed")
-    streams.stream_ingest(source, f"{out}/table", f"{out}/state", "ord").awaitTermination()
-    return streams.latest_version(spark, f"{out}/table").select("id", "round", "winner_id", "score")

@@ -43,7 +43,7 @@ def snapshot_summary(tables: dict[str, DataFrame], rankings: DataFrame, coverage
     out = line(rankings.agg(F.max("snapshot_date").alias("d")), "newest_ranking", F.lit("snapshot_date"), F.col("d"))
     for name, df in tables.items():
         out = out.unionByName(line(df.agg(F.count(F.lit(1)).alias("n")), "rows", F.lit(name), F.col("n")))
-    out = out.unionByName(line(coverage, "active_event", F.col("id"), F.concat_ws(" ", F.col("n_matches").cast("string"), F.col("last_date").cast("string"))))
+    out = out.unionByName(line(coverage, "active_event", F.col("id"), F.concat_ws(" ", F.col("n_matches").cast("string"), F.coalesce(F.col("last_date").cast("string"), F.lit("-")))))
     return out.unionByName(line(newest(matches, 5), "newest_match", F.col("id"), F.col("date")))
 
 

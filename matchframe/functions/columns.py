@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,13 +104,21 @@ def slug(name: Column, year: Column) -> Column:
     return F.concat(F.coalesce(F.nullif(short, F.lit("")), F.lit("event")), F.lpad((year % 100).cast("string"), 2, "0"))
 
 
-def name_key(name: Column, hyphens: bool = False) -> Column:
-    """Lower case without accents, single spaces; hyphens and apostrophes count as spaces for linking.
+@F.pandas_udf("string")
+def _folded(name: pd.Series) -> pd.Series:
+    """Compatibility decomposition without combining marks."""
+    fold = lambda text: "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return name.map(fold, na_action="ignore")
+
 
-    Accents go by a fixed translation of Latin letters, so the key needs no Python.
-    """
-    plain = F.translate(F.lower(name), "àáâãäåāăąçćčďđèéêëēėęěğìíîïīįıłľñńňòóôõöøōőŕřśşšťţùúûüūůűųýÿźżž", "aaaaaaaaacccddeeeeeeeegiiiiiiillnnnoooooooorrsssttuuuuuuuuyyzzz")
-    return F.trim(F.regexp_replace(plain, r"[\s\-']+" if hyphens else r"\s+", " "))
+def folded(name: Column) -> Column:
+    """The name without accents and other marks, of any script, composed or not. Names in ASCII go round the batches to Python as nulls."""
+    return F.coalesce(_folded(F.when(name.rlike(r"[^\x00-\x7F]"), name)), name)
+
+
+def name_key(name: Column, hyphens: bool = False) -> Column:
+    """Lower case without accents, single spaces; hyphens and apostrophes count as spaces for linking. Letters that are no letter with a mark stay, such as the Danish o."""
+    return F.trim(F.regexp_replace(F.lower(folded(name)), r"[\s\-']+" if hyphens else r"\s+", " "))
 
 
 def word_set(key: Column) -> Column:

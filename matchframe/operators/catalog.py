@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.columns import iso_week, slug
 from .sides import event_keys, unresolved
@@ -32,15 +33,28 @@ def suggest_catalog(audit: DataFrame, as_of: str, active_days: int = 7) -> DataF
     return audit.select(slug(F.col("name"), F.year("first_date")).alias("id"), "tour", "tournament_api_id", "name", iso_week(F.col("first_date")).alias("week"), F.month("first_date").alias("month"), "first_date", "last_date", active.alias("active"), (~active).alias("complete"))
 
 
+def _grams(text: Column) -> Column:
+    """The different runs of one, two and three characters of a text, and the empty one."""
+    runs = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(0), F.length(text) - n), lambda i: F.substring(text, i + 1, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(F.lit("")), runs(1), runs(2), runs(3)))
+
+
 def classify_events(names: DataFrame, patterns: DataFrame) -> DataFrame:
-    """names (name, tour) with the first pattern (ordinal, substring, atp_tier, wta_tier, …) that its name contains and that has a tier for its tour.
+    """names (name, tour) with the first pattern (ordinal, substring, atp_tier, wta_tier, …) that its name contains, in any case, and that has a tier for its tour.
 
-    The pattern list is a lookup kept by hand; the join compares every name with each of its rows.
+    An inverted index: each pattern stands under the rarest of its longest runs of characters (three at most), names
+    meet it there, and contains() decides. So both lists may be long.
     """
     tier = F.when(F.col("tour") == "atp", F.col("atp_tier")).otherwise(F.col("wta_tier"))
-    hit = F.contains(F.lower("name"), F.lower("substring")) & tier.isNotNull()
-    found = names.select("name", "tour").distinct().join(patterns, hit)
-    best = found.groupBy("name", "tour").agg(F.min_by(F.struct(tier.alias("tier"), F.col("slug").alias("event_slug"), "substring"), "ordinal").alias("p"))
+    asked = names.select("name").distinct().select("name", F.lower("name").alias("low")).select("name", "low", F.explode(_grams(F.col("low"))).alias("gram"))
+    often = asked.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
+    wanted = patterns.withColumn("sought", F.lower("substring"))
+    long = F.least(F.length("sought"), F.lit(3))
+    under = wanted.select("ordinal", "substring", "sought", F.explode(F.filter(_grams(F.col("sought")), lambda g: F.length(g) == long)).alias("gram")).join(often, "gram")
+    index = under.groupBy("ordinal", "substring", "sought").agg(F.min_by("gram", F.struct("held", "gram")).alias("gram"))
+    met = asked.join(index, "gram").where(F.contains("low", "sought")).select("name", "ordinal", "substring")
+    rows = names.select("name", "tour").distinct().join(met, "name").join(patterns, ["ordinal", "substring"]).where(tier.isNotNull())
+    best = rows.groupBy("name", "tour").agg(F.min_by(F.struct(tier.alias("tier"), F.col("slug").alias("event_slug"), "substring"), "ordinal").alias("p"))
     return names.join(best, ["name", "tour"], "left").select(*names.columns, "p.tier", "p.event_slug", F.col("p.substring").alias("pattern"))
 
 
@@ -72,3 +86,12 @@ def exclude_known(df: DataFrame, events: DataFrame) -> DataFrame:
 
 def ordered_catalog(df: DataFrame) -> DataFrame:
     return df.orderBy("start_date", "id")
+
+
+def catalog_places(df: DataFrame) -> DataFrame:
+    """df with place, from 1 in the order of the catalog: rows of a day are counted first, so that only days are put in one order."""
+    days = df.groupBy("start_date").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy(F.asc_nulls_first("start_date")).rowsBetween(Window.unboundedPreceding, -1)
+    before = days.select(F.col("start_date").alias("_day"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("start_date").orderBy("id"))
+    return df.withColumn("_within", within).join(before, F.col("start_date").eqNullSafe(F.col("_day"))).select(*df.columns, (F.col("_before") + F.col("_within")).alias("place"))

@@ -21,6 +21,15 @@ def country_match(a: Column, b: Column) -> Column:
     return (a != "") & (b != "") & ((a == b) | alias)
 
 
+def compatible(code: Column) -> Column:
+    """The codes that country_match(code, …) takes: its own and those it also stands for; none for an empty code."""
+    up = F.upper(F.coalesce(code, F.lit("")))
+    also = F.array().cast("array<string>")
+    for name, others in COUNTRY_ALIASES.items():
+        also = F.when(up == name, F.array(*map(F.lit, others))).otherwise(also)
+    return F.when(up == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(F.array(up), also)))
+
+
 def link(left: DataFrame, right: DataFrame) -> DataFrame:
     """bid, pid (null where rejected), kind. left: bid, name, ab, country; right: pid, ordinal, name, country."""
     key = name_key(F.col("name"), hyphens=True)
@@ -28,39 +37,49 @@ def link(left: DataFrame, right: DataFrame) -> DataFrame:
     label = F.element_at(F.split(name_key(F.coalesce("ab", F.lit("")), hyphens=True), r"\."), -1)
     bios = left.select("bid", key.alias("bkey"), F.col("country").alias("bcountry"), label.alias("blabel"))
     bios = bios.withColumn("bfirst", first(F.col("bkey"))).withColumn("blast", last(F.col("bkey"))).withColumn("bset", word_set(F.col("bkey")))
-    regs = right.select("pid", "ordinal", key.alias("rkey"), F.col("country").alias("rcountry"))
+    regs = right.select("pid", "ordinal", key.alias("rkey"), F.col("country").alias("rcountry"), F.upper(F.coalesce("country", F.lit(""))).alias("rcode"))
     regs = regs.withColumn("rfirst", first(F.col("rkey"))).withColumn("rlast", last(F.col("rkey"))).withColumn("rset", word_set(F.col("rkey")))
-    same = country_match(F.col("bcountry"), F.col("rcountry"))
-
-    def earliest(joined: DataFrame, kind: str, place: int) -> DataFrame:
-        return joined.groupBy("bid").agg(F.min_by("pid", F.struct("ordinal", "pid")).alias("pid")).select("bid", "pid", F.lit(kind).alias("kind"), F.lit(place).alias("place"))
-
-    exact = earliest(bios.join(regs, (F.col("bkey") == F.col("rkey")) & same), "exact_full", 1)
-    order = earliest(bios.where(F.size(F.split("bset", " ")) >= 2).join(regs, (F.col("bset") == F.col("rset")) & same), "word_order", 2)
-
-    by_last = bios.join(regs, F.col("blast") == F.col("rlast")).unionByName(bios.where("blabel <> ''").join(regs, F.col("blabel") == F.col("rlast"))).dropDuplicates(["bid", "pid"])
-    prefix = (F.length("bfirst") >= 2) & (F.length("rfirst") >= 2) & (F.substring("bfirst", 1, 2) == F.substring("rfirst", 1, 2))
-    marked = by_last.withColumn("same", same).withColumn("named", (F.col("bfirst") == F.col("rfirst")) | prefix)
-    counts = marked.groupBy("bid").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("same").alias("n_same"), F.min("pid").alias("only"), F.bool_or("same").alias("same"), F.bool_or("named").alias("named"), F.min(F.when(F.col("same"), F.col("pid"))).alias("same_pid"),
-    )
-    single, named, tied = F.col("n") == 1, F.col("named"), F.col("same")
+    # namesakes of a country count as one: what the rules ask of them is how many there are and which is first, so no pair of namesakes is built
+    own = bios.withColumn("code", F.explode_outer(compatible(F.col("bcountry"))))
+
+    def earliest(asking: DataFrame, mine: str, theirs: str, kind: str, place: int) -> DataFrame:
+        first_there = regs.where("rcode <> ''").groupBy(theirs, "rcode").agg(F.min(F.struct("ordinal", "pid")).alias("p"))
+        met = asking.join(first_there, (F.col(mine) == F.col(theirs)) & (F.col("code") == F.col("rcode")))
+        return met.groupBy("bid").agg(F.min("p")["pid"].alias("pid")).select("bid", "pid", F.lit(kind).alias("kind"), F.lit(place).alias("place"))
+
+    exact = earliest(own, "bkey", "rkey", "exact_full", 1)
+    order = earliest(own.where(F.size(F.split("bset", " ")) >= 2), "bset", "rset", "word_order", 2)
+
+    # a surname is asked for, and the label's where that is another one
+    surnames = F.array_distinct(F.when(F.col("blabel") != "", F.array("blast", "blabel")).otherwise(F.array("blast")))
+    asked = bios.select("bid", "bfirst", "bcountry", F.explode(surnames).alias("last"))
+    named_so = regs.groupBy("rlast").agg(F.count_distinct("pid").alias("n"), F.min(F.struct("pid", "rfirst", "rcountry")).alias("one"))
+    counts = asked.join(named_so, F.col("last") == F.col("rlast")).groupBy("bid", "bfirst", "bcountry").agg(F.sum("n").alias("n"), F.min("one").alias("one"))
+    there = regs.where("rcode <> ''").groupBy("rlast", "rcode").agg(F.count_distinct("pid").alias("k"), F.min("pid").alias("first_pid"))
+    codes = asked.withColumn("code", F.explode(compatible(F.col("bcountry")))).join(there, (F.col("last") == F.col("rlast")) & (F.col("code") == F.col("rcode")))
+    counts = counts.join(codes.groupBy("bid").agg(F.sum("k").alias("n_same"), F.min("first_pid").alias("same_pid")), "bid", "left")
+    prefix = (F.length("bfirst") >= 2) & (F.length("one.rfirst") >= 2) & (F.substring("bfirst", 1, 2) == F.substring("one.rfirst", 1, 2))
+    single, named, tied = F.col("n") == 1, (F.col("bfirst") == F.col("one.rfirst")) | prefix, country_match(F.col("bcountry"), F.col("one.rcountry"))
+    alike = F.coalesce(F.col("n_same"), F.lit(0)) == 1
     kind = (
         F.when(single & named & tied, "exact_last+country").when(single & named, "last+first").when(single & tied, "rejected_diff_first").when(single, "rejected_diff_first+country")
-        .when(F.col("n_same") == 1, "exact_last+country").otherwise("ambiguous")
+        .when(alike, "exact_last+country").otherwise("ambiguous")
     )
-    chosen = F.when(single & named, F.col("only")).when(~single & (F.col("n_same") == 1), F.col("same_pid"))
+    chosen = F.when(single & named, F.col("one.pid")).when(~single & alike, F.col("same_pid"))
     surname = counts.select("bid", chosen.alias("pid"), kind.alias("kind"), F.lit(3).alias("place"))
 
-    # a name is in another only if its rarest word is: one join on that word, then the whole sets are compared
+    # a name is in another only if its rarest word is: one join on that word of the different names there are, then the whole sets are compared
     words = lambda k: F.array_distinct(F.split(k, " "))
-    spread = regs.select("pid", "rcountry", words("rkey").alias("rwords")).withColumn("word", F.explode("rwords"))
+    names = regs.groupBy("rset").agg(F.count_distinct("pid").alias("k"), F.min("pid").alias("any_pid"))
+    spread = names.select("rset", words("rset").alias("rwords"), "k", "any_pid").withColumn("word", F.explode("rwords"))
     held = spread.groupBy("word").agg(F.count(F.lit(1)).alias("held"))
-    asked = bios.select("bid", "bcountry", words("bkey").alias("bwords")).withColumn("word", F.explode("bwords")).join(held, "word", "left")
+    asked = bios.select("bid", "bcountry", words("bset").alias("bwords")).withColumn("word", F.explode("bwords")).join(held, "word", "left")
     rarest = asked.groupBy("bid", "bcountry", "bwords").agg(F.min_by("word", F.struct(F.coalesce("held", F.lit(0)), "word")).alias("word"))
-    met = rarest.join(spread, "word").where(F.size(F.array_except("bwords", "rwords")) == 0)
-    whole = met.select("bid", "pid", same.alias("same")).distinct()
-    found = whole.groupBy("bid").agg(F.count(F.lit(1)).alias("n"), F.count_if("same").alias("n_same"), F.min(F.when(F.col("same"), F.col("pid"))).alias("same_pid"), F.min("pid").alias("only"))
+    met = rarest.join(spread, "word").where(F.size(F.array_except("bwords", "rwords")) == 0).select("bid", "bcountry", "rset", "k", "any_pid")
+    by_code = regs.where("rcode <> ''").groupBy("rset", "rcode").agg(F.count_distinct("pid").alias("same_k"), F.min("pid").alias("code_pid"))
+    codes = met.select("bid", "rset", F.explode(compatible(F.col("bcountry"))).alias("rcode")).join(by_code, ["rset", "rcode"])
+    whole = met.groupBy("bid").agg(F.sum("k").alias("n"), F.min("any_pid").alias("only"))
+    found = whole.join(codes.groupBy("bid").agg(F.sum("same_k").alias("n_same"), F.min("code_pid").alias("same_pid")), "bid", "left").fillna(0, ["n_same"])
     one, alone, many = F.col("n_same") == 1, (F.col("n") == 1) & (F.col("n_same") == 0), F.col("n_same") > 1
     subset = found.where(one | alone | many).select("bid", F.when(one, F.col("same_pid")).when(alone, F.col("only")).alias("pid"), F.when(one, "subset_match+country").when(alone, "subset_match_country_diff").otherwise("ambiguous_subset").alias("kind"), F.lit(4).alias("place"))
 

@@ -116,12 +116,12 @@ def project_live_sorted(spark, d):
     return rows.select(F.posexplode("rows").alias("k", "row")).select("row.id", "row.tour", (F.col("k") + 1).alias("place"))
 
 
-@query("WITH al AS (SELECT tour, tournament_api_id AS api_id, min(date) AS start_date, count(*) AS n FROM fx_matches GROUP BY 1, 2) SELECT * FROM al WHERE NOT EXISTS (SELECT 1 FROM fx_events e WHERE CASE WHEN al.tour = 'atp' THEN e.api_id_atp ELSE e.api_id_wta END = api_id)")
+@query("WITH al AS (SELECT tour, tournament_api_id AS api_id, min(date) AS start_date, count(*) AS n FROM fx_matches GROUP BY 1, 2) SELECT *, row_number() OVER (ORDER BY start_date, api_id, tour) AS place FROM al WHERE NOT EXISTS (SELECT 1 FROM fx_events e WHERE CASE WHEN al.tour = 'atp' THEN e.api_id_atp ELSE e.api_id_wta END = api_id)")
 def catalog_new(spark, d):
     """Events of matches that no catalog row has, in the order of the catalog."""
     seen = _plain(spark, d).groupBy("tour", F.col("tournament_api_id").alias("api_id")).agg(F.min("date").alias("start_date"), F.count(F.lit(1)).alias("n"))
     lost = catalog.exclude_known(seen, table(spark, d, "fx_events"))
-    return catalog.ordered_catalog(lost.withColumn("id", F.col("api_id"))).select("tour", "api_id", "start_date", "n")
+    return catalog.catalog_places(lost.withColumn("id", F.struct("api_id", "tour"))).select("tour", "api_id", "start_date", "n", "place")
 
 
 @query("SELECT 'players' AS table_name, count(*) AS rows FROM fx_players UNION ALL SELECT 'events', count(*) FROM fx_events UNION ALL SELECT 'matches', count(*) FROM fx_matches UNION ALL SELECT 'rankings', count(*) FROM fx_rankings UNION ALL SELECT 'log', count(*) FROM fx_log")

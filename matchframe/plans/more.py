@@ -286,7 +286,7 @@ def project_stakes(spark, d):
 @query("WITH " + STAKES + """, r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY max_gain DESC, id) AS gain_place, row_number() OVER (PARTITION BY event_id ORDER BY worst_case, max_gain DESC, id) AS lose_place FROM sk)
 SELECT id, event_id, type, rank, defending, max_gain, exp_gain, worst_case, CAST(gain_place AS INTEGER) AS gain_place, CAST(lose_place AS INTEGER) AS lose_place FROM r WHERE gain_place <= 5 OR lose_place <= 5""")
 def project_stakes_top(spark, d):
-    return project.stakes_top(project_stakes(spark, d))
+    return project.top_stakes(_live_rows(spark, d), _event_types(spark, d))
 
 
 @query("WITH " + STAKES + ", c AS (SELECT * FROM sk WHERE event_id = 'ev1' ORDER BY max_gain DESC, id LIMIT 12) SELECT id, greatest(0, max_gain) AS gain, exp_gain, least(0, worst_case) AS loss FROM c")

@@ -64,9 +64,8 @@ def source_fallback(spark, d):
     return merge.with_fallback(first, merge.with_source(m.drop("surface"), "secondary"), ["tour", "tournament_api_id"]).select("source", "id", "tour", "tournament_api_id")
 
 
-@query("""SELECT id, tournament_api_id, tournament_name, date, round, surface, tour, p1_id, p2_id, winner_id, score, best_of, json_extract_string(stat_p1, '$.aces') AS aces FROM fx_matches""")
-def ingest_matches(spark, d):
-    """Payload pages of both shapes, written from the matches, read back by the ingest path."""
+def match_pages(spark, d):
+    """tour, value: payload pages of both shapes, written from the matches."""
     m = _matches(spark, d)
     court = F.when(F.col("surface") == "H", 1).when(F.col("surface") == "C", 3).when(F.col("surface") == "G", 5)
     odd = F.pmod(F.xxhash64("id"), F.lit(2)) == 1
@@ -77,8 +76,13 @@ def ingest_matches(spark, d):
     items = m.select("tour", F.floor(F.col("id").cast("long") / 5000).alias("page"), odd.alias("bare"), F.when(odd, one).otherwise(two).alias("item"))
     joined = F.concat(F.lit("["), F.array_join(F.collect_list("item"), ","), F.lit("]"))
     pages = items.groupBy("tour", "page", "bare").agg(joined.alias("list"))
-    pages = pages.select("tour", F.when(F.col("bare"), F.col("list")).otherwise(F.concat(F.lit('{"data":'), F.col("list"), F.lit("}"))).alias("value"))
-    found = payloads.payload_items(pages)
+    return pages.select("tour", F.when(F.col("bare"), F.col("list")).otherwise(F.concat(F.lit('{"data":'), F.col("list"), F.lit("}"))).alias("value"))
+
+
+@query("""SELECT id, tournament_api_id, tournament_name, date, round, surface, tour, p1_id, p2_id, winner_id, score, best_of, json_extract_string(stat_p1, '$.aces') AS aces FROM fx_matches""")
+def ingest_matches(spark, d):
+    """Payload pages of both shapes, written from the matches, read back by the ingest path."""
+    found = payloads.payload_items(match_pages(spark, d))
     return payloads.to_matches(found, F.col("tour")).select("id", "tournament_api_id", "tournament_name", "date", "round", "surface", "tour", "p1_id", "p2_id", "winner_id", "score", "best_of", F.col("stat_p1")["aces"].alias("aces"))
 
 
@@ -431,7 +435,10 @@ def publish_fingerprints(spark, d):
     return publish.fingerprint(_plain(spark, d)).withColumn("name", F.lit("matches")).unionByName(publish.fingerprint(table(spark, d, "fx_rankings")).withColumn("name", F.lit("rankings")))
 
 
-@query()
+@query("WITH " + SIDES + """, o AS (SELECT tr.*, row_number() OVER (PARTITION BY tour, mid ORDER BY date DESC, round DESC NULLS LAST, id DESC) AS rn FROM tr),
+j AS (SELECT o.tour, o.bio_id, rn, '{"rn":' || rn || ',"id":"' || id || '","date":"' || CAST(date AS VARCHAR) || '","event_name":"' || tournament_name || '"' || coalesce(',"round":"' || round || '"', '') || ',"opponent":"' || coalesce(p.name, '?')
+  || '","opp_country":"' || coalesce(p.country, '') || '"' || coalesce(',"score":"' || score || '"', '') || coalesce(',"won":' || CAST(won AS VARCHAR), '') || '}' AS item FROM o LEFT JOIN fx_players p ON p.tour = o.tour AND p.mid = o.opp_id WHERE rn <= 30)
+SELECT tour, bio_id, '[' || string_agg(item, ',' ORDER BY rn) || ']' AS items, count(*) AS n_items FROM j GROUP BY tour, bio_id""")
 def publish_recent(spark, d):
     """A row per player: the last matches as JSON."""
     return publish.export_nested(history_recent(spark, d), ["tour", "bio_id"], ["rn"])

@@ -11,12 +11,16 @@ from ..functions.columns import first_truthy, points_type, surface_of
 _RAW = "array<string>"
 
 
+def page_body(page: Column) -> Column:
+    """The text of a page's list, which is the page or its data; null for any other body."""
+    body = F.when(F.ltrim(page).startswith("["), page).otherwise(F.get_json_object(page, "$.data"))
+    return F.when(F.ltrim(body).startswith("["), body)
+
+
 def page_items(page: Column) -> Column:
     """The items of a page body that is {data: [...]} or a bare array, as JSON text; other bodies have none."""
-    data = F.get_json_object(page, "$.data")
-    body = F.when(F.ltrim(page).startswith("["), page).otherwise(data)
     # objects are kept as text, so that fields with unstable types can be read apart
-    return F.coalesce(F.from_json(body, _RAW), F.array().cast(_RAW))
+    return F.coalesce(F.from_json(page_body(page), _RAW), F.array().cast(_RAW))
 
 
 def payload_items(pages: DataFrame, column: str = "value") -> DataFrame:
@@ -25,14 +29,26 @@ def payload_items(pages: DataFrame, column: str = "value") -> DataFrame:
     return pages.select(*rest, F.explode_outer(page_items(F.col(column))).alias("item")).where("item is not null")
 
 
+def landed_pages(spark: SparkSession, path: str) -> DataFrame:
+    """value, file, bytes, landed_at and the folder names' columns: a row for each file under path, in one scan."""
+    pages = spark.read.option("basePath", path).text(path, wholetext=True)
+    meta = {"file": "file_path", "bytes": "file_size", "landed_at": "file_modification_time"}
+    return pages.select("*", *(F.col(f"_metadata.{field}").alias(name) for name, field in meta.items()))
+
+
+def rejected_pages(pages: DataFrame) -> DataFrame:
+    """Pages whose body is no list, or no JSON, with the start of it: what a reader of the items would not see."""
+    return pages.where(F.from_json(page_body(F.col("value")), _RAW).isNull()).withColumn("starts", F.substring("value", 1, 80)).drop("value")
+
+
 def read_match_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files of a directory, in one scan."""
-    return payload_items(spark.read.text(path, wholetext=True))
+    """Items of the files of a directory and its folders, whose names may give columns (tour=…)."""
+    return payload_items(landed_pages(spark, path).drop("bytes", "landed_at"))
 
 
 def read_ranking_payloads(spark: SparkSession, path: str) -> DataFrame:
     """The same with a race column (true for the race list) from the folder names race=true and race=false."""
-    return payload_items(spark.read.option("basePath", path).text(path, wholetext=True))
+    return read_match_payloads(spark, path)
 
 
 def _field(name: str) -> Column:

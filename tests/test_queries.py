@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from conftest import SF, compare
 
-from matchframe.plans import core, landed, more, replays  # noqa: F401
+from matchframe.plans import core, exports, landed, more, replays  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(core.ORACLE_SQL))

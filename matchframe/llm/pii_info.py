@@ -114,24 +114,35 @@ def _owner(kind: str, value: Column) -> Column:
 
 
 def candidates(hits: DataFrame, reach: int = 60) -> DataFrame:
-    """row, doc_id, th, entity, term: each term near each entity (a value or its owner). Only texts with an entity give rows."""
+    """row, doc_id, th, entity, term: each term near each entity (a value or its owner). Only texts with an entity give rows.
+
+    A text is cut into characters once and the windows beside all its entities are taken from these; only windows leave the row.
+    """
 
     def tagged(kind: str) -> Column:
-        span = lambda s, name: F.struct(name.alias("entity"), s["start"].alias("s"), s["end"].alias("e"))
-        each = F.transform(F.col(kind), lambda s: F.array(span(s, F.concat(F.lit(f"{kind}:"), s["value"])), span(s, F.concat(F.lit(f"{kind} of "), _owner(kind, s["value"])))))
-        return F.flatten(each)
+        names = lambda v: F.array(F.concat(F.lit(f"{kind}:"), v), F.concat(F.lit(f"{kind} of "), _owner(kind, v)))
+        return F.transform(F.col(kind), lambda s: F.struct(names(s["value"]).alias("names"), s["start"].alias("s"), s["end"].alias("e")))
+
+    def windows(chars: Column) -> Column:
+        part = lambda start, n: F.array_join(F.slice(chars, start + 1, n), "")
+
+        def beside(x: Column) -> Column:
+            low = F.greatest(F.lit(0), x["s"] - reach)
+            left = F.struct(part(low, x["s"] - low).alias("part"), (low > 0).alias("cut_left"), F.lit(False).alias("cut_right"))
+            right = F.struct(part(x["e"], F.lit(reach)).alias("part"), F.lit(False).alias("cut_left"), (F.size(chars) > x["e"] + reach).alias("cut_right"))
+            return F.struct(x["names"].alias("names"), F.array(left, right).alias("sides"))
+
+        return F.transform(every, beside)
 
     every = F.concat(*[tagged(k) for k in KINDS])
     # the outer form, as a filter inferred from the plain one would work everything out twice
-    each = hits.select(F.monotonically_increasing_id().alias("row"), "doc_id", "th", "text", F.explode_outer(every).alias("x")).where("x is not null").select("row", "doc_id", "th", "text", "x.*")
-    low = F.greatest(F.lit(0), F.col("s") - reach)
-    each = each.select("row", "doc_id", "th", "entity", F.explode(F.array(
-        F.struct(F.substring(F.col("text"), low + 1, F.col("s") - low).alias("part"), (low > 0).alias("cut_left"), F.lit(False).alias("cut_right")),
-        F.struct(F.substring(F.col("text"), F.col("e") + 1, F.lit(reach)).alias("part"), F.lit(False).alias("cut_left"), (F.length("text") > F.col("e") + reach).alias("cut_right")),
-    )).alias("w")).select("row", "doc_id", "th", "entity", "w.*")
-    terms = each.select("row", "doc_id", "th", "entity", "cut_left", "cut_right", F.length("part").alias("n"), F.explode_outer(located(F.col("part"), TERM)).alias("t")).where("t is not null")
+    cut = F.when(F.size(every) > 0, _once(F.split("text", ""), windows))
+    each = hits.select(F.monotonically_increasing_id().alias("row"), "doc_id", "th", F.explode_outer(cut).alias("x")).where("x is not null")
+    each = each.select("row", "doc_id", "th", "x.names", F.explode_outer("x.sides").alias("w")).select("row", "doc_id", "th", "names", "w.*")
+    terms = each.select("row", "doc_id", "th", "names", "cut_left", "cut_right", F.length("part").alias("n"), F.explode_outer(located(F.col("part"), TERM)).alias("t")).where("t is not null")
     whole = ~((F.col("cut_left") & (F.col("t.start") == 0)) | (F.col("cut_right") & (F.col("t.end") == F.col("n"))))
-    return terms.where(whole).select("row", "doc_id", "th", "entity", F.lower("t.value").alias("term")).distinct()
+    met = terms.where(whole).select("row", "doc_id", "th", F.lower("t.value").alias("term"), F.explode_outer("names").alias("entity"))
+    return met.select("row", "doc_id", "th", "entity", "term").distinct()
 
 
 def disclosures(docs: DataFrame, near: DataFrame, threshold: float = 0.8, least_texts: int = 2, text_col: str = "text") -> DataFrame:

@@ -118,11 +118,10 @@ def with_tables(sql: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table. Views have names of their own for each directory, so that two scales do not mix."""
-    tag = f"t{abs(hash(sf_dir)):x}"
-    sql = with_tables(f"SELECT * FROM {name}")
+    """A derived table. The given tables are handed to the statement as frames, so no view stays in the session."""
+    sql, frames = with_tables(f"SELECT * FROM {name}").replace("{", "{{").replace("}", "}}"), {}
     for t in BASE:
-        if re.search(rf"\b{t}\b", sql):
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"{tag}_{t}")
-            sql = re.sub(rf"(FROM|JOIN) {t}\b", rf"\1 {tag}_{t}", sql)
-    return spark.sql(sql)
+        if re.search(rf"\b(FROM|JOIN) {t}\b", sql):
+            frames[t] = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+            sql = re.sub(rf"(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
+    return spark.sql(sql, **frames)

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..schema import COURTS, TOUR_TIERS
 
@@ -104,7 +105,7 @@ def slug(name: Column, year: Column) -> Column:
     return F.concat(F.coalesce(F.nullif(short, F.lit("")), F.lit("event")), F.lpad((year % 100).cast("string"), 2, "0"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _folded(name: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks."""
     fold = lambda text: "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))

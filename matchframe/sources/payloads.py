@@ -48,7 +48,8 @@ def read_match_payloads(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ranking_payloads(spark: SparkSession, path: str) -> DataFrame:
     """The same with a race column (true for the race list) from the folder names race=true and race=false."""
-    return read_match_payloads(spark, path)
+    items = read_match_payloads(spark, path)
+    return items.withColumn("race", F.col("race").cast("boolean")) if "race" in items.columns else items
 
 
 def _field(name: str) -> Column:

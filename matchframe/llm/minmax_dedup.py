@@ -34,8 +34,8 @@ WIDTH, PERMUTATIONS, BANDS, ROWS = 4, 128, 51, 5
 LEAST_EQUAL = 165
 #: Bands whose neighbours are compared first; what they join is left out of later comparisons.
 FIRST_BANDS = 6
-#: Rows of a bucket beyond which it is split.
-CROWD = 2000
+#: Rows of a bucket beyond which it is split: up to there a task compares all sets of different components, beyond it the rows go to 50 smaller buckets each.
+CROWD = 20_000
 _DRAW = np.random.Generator(np.random.PCG64(20))
 _TIMES = _DRAW.integers(1 << 62, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _DRAW.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)

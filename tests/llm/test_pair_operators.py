@@ -261,7 +261,7 @@ def near_copies(seed, bases, copies, size=120):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("crowd", [2000, 2])
+@pytest.mark.parametrize("crowd", [minmax_dedup.CROWD, 2])
 def test_near_copies_against_all_pairs(spark, crowd):
     """Chains of near copies around the threshold, exact copies, short texts; also with every bucket split."""
     texts = near_copies(5, 12, 12) + [(500, "One two"), (501, "one  TWO"), (502, "one two three four five"), (503, "one two three four five six"), (504, ""), (505, None), (506, " \n")]
@@ -277,7 +277,7 @@ def test_shared_passage_is_no_link(spark):
     draw = random.Random(2)
     passage = [f"p{k}" for k in range(100)]
     texts = [(k, " ".join(passage + [f"u{draw.randrange(10**6)}" for _ in range(10 + 5 * (k % 25))])) for k in range(150)]
-    for crowd in (2000, 5):
+    for crowd in (minmax_dedup.CROWD, 5):
         got = {r.doc_id: r.component_id for r in minmax_dedup.near_duplicates(documents(spark, texts), crowd=crowd).collect()}
         assert got == brute_groups(texts)
 

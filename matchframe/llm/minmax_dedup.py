@@ -148,8 +148,12 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(*np.concatenate(held, axis=1), np.concatenate(sigs))
 
 
-def _labels(edges: DataFrame) -> DataFrame:
-    return materialise(components(edges).select(F.col("u").alias("key"), "component"), "components")
+def _merged(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """labels (key, label) with the groups of each pair of keys made one. The graph is one of labels, so it is as small as what is new."""
+    end = lambda name: labels.select(F.col("key").alias(name), F.col("label").alias(f"{name}l"))
+    edges = pairs.join(end("u"), "u").join(end("v"), "v").select(F.col("ul").alias("u"), F.col("vl").alias("v"))
+    named = components(edges.where("u <> v")).select(F.col("u").alias("old"), "component")
+    return materialise(labels.join(named, F.col("label") == F.col("old"), "left").select("key", F.coalesce("component", "label").alias("label")), "labels")
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -166,8 +170,8 @@ def _near(rows: DataFrame, distinct: DataFrame) -> DataFrame:
     return materialise(near, "pairs")
 
 
-def links(docs: DataFrame, distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """u, v: pairs of keys of similarity 0.8 or more whose components are those of all such pairs."""
+def groups(docs: DataFrame, distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """key, label: the same label for keys that pairs of similarity 0.8 or more lead to from one another."""
     every = distinct.select("n", "key", F.explode("bands").alias("h")).select("h", "n", "key")
     shared = every.repartition("h").sortWithinPartitions("h").mapInArrow(shared_rows, "h long, n long, key long")
     shared = materialise(shared, "shared-buckets")
@@ -176,14 +180,15 @@ def links(docs: DataFrame, distinct: DataFrame, crowd: int = CROWD) -> DataFrame
     near = _near(some, distinct)
     ends = near.select(F.col("u").alias("key"), F.struct("equal", "u", "v").alias("p")).union(near.select("v", F.struct("equal", "u", "v")))
     best = materialise(ends.groupBy("key").agg(F.max("p").alias("p")).select("p.u", "p.v").distinct(), "best-pairs")
-    found = materialise(confirmed(docs, best, distinct, WIDTH), "links")
+    labels = _merged(distinct.select("key", F.col("key").alias("label")), confirmed(docs, best, distinct, WIDTH))
     # then neighbours in all buckets that are still apart
-    label = lambda edges: materialise(_mixed(shared.join(_labels(edges), "key", "left").select("h", "n", "key", F.coalesce("component", "key").alias("label"))), "mixed-buckets")
-    rest = _near(label(found), distinct)
+    mix = lambda labels: materialise(_mixed(shared.join(labels, "key").select("h", "n", "key", "label")), "mixed-buckets")
+    rest = _near(mix(labels), distinct)
     tried = materialise(best.union(rest.select("u", "v")), "tried")
-    found = materialise(found.union(confirmed(docs, rest.join(best, ["u", "v"], "left_anti").select("u", "v"), distinct, WIDTH)), "links")
+    fresh = rest.join(best, ["u", "v"], "left_anti").select("u", "v")
+    labels = _merged(labels, confirmed(docs, materialise(fresh, "pairs"), distinct, WIDTH))
     # then all that is still apart in a bucket
-    mixed = label(found)
+    mixed = mix(labels)
     full = mixed.where(F.col("size") > crowd)
     if not full.isEmpty():
         again = full.join(distinct.select("key", "bands"), "key").select(F.explode(F.filter("bands", lambda b: b != F.col("h"))).alias("b"), "h", "n", "key", "label")
@@ -192,7 +197,7 @@ def links(docs: DataFrame, distinct: DataFrame, crowd: int = CROWD) -> DataFrame
     met = mixed.join(distinct.select("key", "sig"), "key").select("h", "n", "key", "label", "sig")
     late = met.repartition("h").sortWithinPartitions("h", "n", "key").mapInArrow(_across, "u long, v long").distinct()
     late = materialise(late.join(tried, ["u", "v"], "left_anti"), "pairs")
-    return found.union(confirmed(docs, late, distinct, WIDTH))
+    return _merged(labels, confirmed(docs, late, distinct, WIDTH))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
@@ -203,14 +208,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = prints.where("n > 0 and doc_id is not null")
     firsts = full.groupBy("key").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     distinct = materialise(firsts.select("key", "first.*", "n", "sig", "bands"), "distinct-sets")
-    joined = links(texts, distinct, crowd)
-    rep = lambda name: distinct.select(F.col("key").alias(name), F.col("doc_id").alias(f"{name}_id"))
-    edges = joined.join(rep("u"), "u").join(rep("v"), "v").select(F.col("u_id").alias("u"), F.col("v_id").alias("v"))
-    # rows of one id are one document, and equal sets are linked
-    own = full.select("doc_id", "key").join(rep("key"), "key").where("doc_id <> key_id").select("doc_id", "key_id")
-    named = components(edges.union(own)).select(F.col("u").alias("node"), "component")
-    ids = prints.join(rep("key2"), F.when(F.col("n") > 0, F.col("key")) == F.col("key2"), "left")
-    node = F.coalesce("doc_id", F.col("key2_id"))
-    out = ids.select("doc_id", F.col("n").alias("n_shingles"), node.alias("own")).join(named, F.col("own") == F.col("node"), "left")
-    component = F.coalesce("component", "own")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    labels = groups(texts, distinct, crowd)
+    # rows of one id are one document: its sets' groups are one
+    held = full.select("doc_id", "key").join(labels, "key").select("doc_id", "key", "label")
+    several = held.groupBy("doc_id").agg(F.min_by("key", "label").alias("u"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    also = several.join(held, "doc_id").where("label <> low").select("u", F.col("key").alias("v")).distinct()
+    labels = _merged(labels, also)
+    first = distinct.join(labels, "key").groupBy("label").agg(F.min("doc_id").alias("component"))
+    named = labels.join(first, "label").select(F.col("key").alias("key2"), "component")
+    rows = prints.join(named, F.when(F.col("n") > 0, F.col("key")) == F.col("key2"), "left")
+    component = F.coalesce("component", "doc_id")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

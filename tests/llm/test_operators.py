@@ -513,8 +513,27 @@ def test_items_without_template_windows(spark):
     texts = [f"first words, {items[0]} and more", f"THE {items[1].upper()}, again", f"so {items[2]} it goes", "Paris", "they went to Paris on foot", "What is 12 + 45 * 3 - 8 / 2", "theorem prime number", None, ""]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     docs = documents(spark, list(enumerate(texts)))
-    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()} == {(0, 0), (1, 1), (2, 2), (3, 3)}
-    assert sorted(r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()) == [4, 5, 6, 7, 8]
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()} == {(0, 0), (1, 1), (2, 2), (3, 3), (5, 0)}
+    assert sorted(r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()) == [4, 6, 7, 8]
+
+
+def test_short_items_with_other_numbers(spark):
+    items = ["Compute 12 times 7", "add 12 and 45", "solve 3 + 4 * 5", "12 + 45 = 57", "pay 5 dollars", "Alice has 12 red apples and gives 5 of them to her brother on each of the 3 school days", "7 1 9 4 4 2 sorted 8 8 3 1 5 gives 6"]
+    texts = [
+        "Compute 99 times 8", "Please ADD 77 and 91 now", "so solve 8 + 9 * 2 then", "3 + 4 = 7", "they pay 9 dollars", items[5].upper().replace("12", "30").replace(" 5 ", " 8 "),
+        "1 2 3 4 5 6 sorted 9 9 3 2 6 gives 8", "compute 99 divided by 8", "add twelve and 45", "solve 8 - 9 / 2", "solve 8 9 2", "add 5, and then 7", None, "", "12 + 45 = 57", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15",
+    ]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(documents(spark, list(enumerate(texts))), bench).collect()}
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (5, 5), (6, 6), (14, 3)}
+    assert got[0, 0].slots == 2 and got[0, 0].coverage == 1 and not got[0, 0].verbatim and got[14, 3].verbatim
+
+
+def test_long_text_around_an_item(spark):
+    filler = "some words without any end " * 40_000
+    bench = spark.createDataFrame([(0, "add 12 and 45"), (1, "What is the sum of 14 and the product of 3 and 9")], "item_id long, text string")
+    docs = documents(spark, [(1, f"{filler}add 7 and 8 {filler}"), (2, filler), (3, f"{filler}what is the sum of 1 and the product of 2 and 5")])
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()} == {(1, 0), (3, 1)}
 
 
 def test_verbatim_passages_are_found(spark, small):

@@ -9,7 +9,9 @@ those of its siblings that are headings or more text than links, or, where it is
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out wherever
 they stand: by element, role or hidden state, and by the first or last part of a class or id. As names can mislead
 (`sidebar-right` for a layout), an element that holds most of the points stays where its going would leave the page
-without paragraphs.
+without paragraphs; a form that holds most of them (some sites wrap the page in one) stays in any case. Within an
+article, words that also begin other names (`related-work`, `notice-board`) count only where the rest of the name is a
+plain word for a container or a quarter of the text lies in links.
 
 Null html gives an empty text. Rows are independent: repeated rows and repeated urls stay. An empty table gives
 an empty result.
@@ -29,9 +31,9 @@ from .common import bounded_batches, parts_of, rows_of
 
 #: Element names and class words, by their part in the method.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("head title script style noscript template iframe nav header footer aside form select option textarea input dialog menu".split())
+DROPPED = frozenset("head title script style noscript template iframe nav header footer aside select option textarea input dialog menu".split())
 DROPPED_BLOCKS = frozenset("nav header footer aside form dialog menu".split())
-BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure form h1 h2 h3 h4 h5 h6 hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLES = frozenset(("article", "main"))
 #: The share of links under which an element is read as text.
@@ -43,6 +45,9 @@ NOISE = re.compile(
 )
 #: Words before a noise word that make it a flag of what holds it.
 FLAGS = frozenset("has no with without show hide is not".split())
+#: Noise words that also begin names of other things, and words for a container or its place.
+BEGINNINGS = frozenset("related notice alert search share sharing comment comments reply replies menu social banner navigation recommended consent login header".split())
+CONTAINERS = frozenset("area article articles bar block body box buttons card cards column container content copy feed form group icons inner inline item items left links list message module msg outer panel post posts region results right row section slot stories story text thread title top bottom tools unit wrap wrapper zone".split())
 SITE_HEADER = re.compile(r"^(?:site-|page-|global-|main-|top-)?header$", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -54,16 +59,22 @@ class Node:
         self.tag, self.parent, self.children, self.points = tag, parent, [], 0.0
 
 
-def _named_noise(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether a class or id says so by its first or last part."""
+def _named_noise(tag: str, attrs: list[tuple[str, str | None]]) -> str:
+    """What a class or id says by its first or last part: "noise", "maybe" or nothing."""
     if tag in ("body", "html", "article", "main"):
-        return any(n in ("class", "id") and re.search(r"(?:^|\s)comments?(?:$|[\s_-])", v or "", re.I) for n, v in attrs) and tag == "article"
+        named = tag == "article" and any(n in ("class", "id") and re.search(r"(?:^|\s)comments?(?:$|[\s_-])", v or "", re.I) for n, v in attrs)
+        return "noise" if named else ""
+    said = ""
     for name, value in attrs:
         for token in (value or "").split() if name in ("class", "id") else ():
             parts = re.split("[-_]+", token.strip("-_").lower())
-            if NOISE.fullmatch(parts[0]) or parts[0] == "skip" or SITE_HEADER.match(token) or len(parts) > 1 and parts[0] not in FLAGS and NOISE.fullmatch(parts[-1]):
-                return True
-    return False
+            if SITE_HEADER.match(token) or len(parts) > 1 and parts[0] not in FLAGS and NOISE.fullmatch(parts[-1]):
+                return "noise"
+            if parts[0] == "skip" or NOISE.fullmatch(parts[0]):
+                if parts[0] not in BEGINNINGS or all(p in CONTAINERS or p.isdigit() or NOISE.fullmatch(p) for p in parts[1:]):
+                    return "noise"
+                said = "maybe"
+    return said
 
 
 def _noise(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -84,7 +95,7 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("root", None)
         self.dropped: list[str] = []  # open elements inside noise, the outermost first
-        self.named: set[Node] = set()  # noise by name, judged when the page is read
+        self.named: dict[Node, str] = {}  # forms and noise by name, judged when the page is read
 
     def _pop_to(self, tag: str, bounds: tuple[str, ...]) -> None:
         node = self.at
@@ -115,8 +126,9 @@ class Tree(HTMLParser):
         node = Node(tag, self.at)
         self.at.children.append(node)
         self.at = node
-        if _named_noise(tag, attrs):
-            self.named.add(node)
+        said = "form" if tag == "form" else _named_noise(tag, attrs)
+        if said:
+            self.named[node] = said
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -211,11 +223,27 @@ def points_of(owner: Node, text: str) -> float:
     return 0.0 if owner.tag in HEADINGS else 1.0 + text.count(",") + min(len(text) // 100, 3)
 
 
-def _unwanted(blocks: list[tuple[Node, str, int]], named: set[Node]) -> set[Node]:
-    """Of the nodes that are noise by name, those that go."""
-    if not named:
-        return named
-    held, total, outside = dict.fromkeys(named, 0.0), 0.0, 0.0
+def _within_article(node: Node) -> bool:
+    while node is not None and node.tag not in ARTICLES:
+        node = node.parent
+    return node is not None
+
+
+def _unwanted(blocks: list[tuple[Node, str, int]], named: dict[Node, str]) -> set[Node]:
+    """Of the forms and the nodes that are noise by name, those that go."""
+    maybe = {n for n, said in named.items() if said == "maybe" and _within_article(n)}
+    sizes = {n: [0, 0] for n in maybe}
+    for owner, text, linked in blocks if maybe else ():
+        node: Node | None = owner
+        while node is not None:
+            if node in sizes:
+                sizes[node][0] += len(text)
+                sizes[node][1] += linked
+            node = node.parent
+    judged = {n for n in named if n not in maybe or sizes[n][1] >= READS * max(sizes[n][0], 1)}
+    if not judged:
+        return judged
+    held, total, outside = dict.fromkeys(judged, 0.0), 0.0, 0.0
     for owner, text, _ in blocks:
         points, free, node = points_of(owner, text), True, owner
         while node is not None:
@@ -225,7 +253,10 @@ def _unwanted(blocks: list[tuple[Node, str, int]], named: set[Node]) -> set[Node
             node = node.parent
         total += points
         outside += points * free
-    return named if outside else {n for n in named if held[n] <= total / 2}
+    forms = {n for n in judged if named[n] == "form" and held[n] > total / 2}
+    if forms:  # the page is in the form: what is noise within or beside it is judged by itself
+        return {n for n in judged if held[n] <= total / 2}
+    return judged if outside else {n for n in judged if held[n] <= total / 2}
 
 
 def _scored(blocks: list[tuple[Node, str, int]]) -> tuple[Node, dict[Node, float], dict[Node, float]]:

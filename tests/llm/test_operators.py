@@ -709,6 +709,10 @@ PAGES = [
     ("<div class='sidebar'><p>Long side text, with commas, many, many, commas, here.</p></div><div id=content><p>Main text here, with some words in it, and more.</p><p>Second, and also long enough to be read.</p></div><div class=comments><p>A comment, rude, long, and silly, as ever.</p></div>", "Main text here, with some words in it, and more.\nSecond, and also long enough to be read."),
     ("<article><p>Text<script>var a='<p>no</p>'</script> goes on</p><form><input><label>Mail</label></form><aside>see also</aside><ul><li>item one<li>item two</ul><section class=comments><p>hi</p></section><p>End&#33;</p></article>", "Text goes on\nitem one\nitem two\nEnd!"),
     ("<article><p>Ti.</p></article><div class=ad>Buy, buy, buy, and buy again, all of it, now, now, please.</div>", "Ti."), (None, ""), ("", ""), ("plain words only", "plain words only"), ("<nav>menu</nav>", ""),
+    ("<body><form action=x><input type=hidden><nav>menu</nav><article><h1>Head</h1><p>One, two, three, and more.</p></article><form><label>Find</label></form></form><p>Rights.</p></body>", "Head\nOne, two, three, and more."),
+    ("<form><div class=main><p>One, two, three, and more.</p><div class=cookie-notice><p>We use them.</p></div></div></form>", "One, two, three, and more."),
+    ("<article><p>First, here.</p><section id=related-work><h2>Related work</h2><p>Others did it, before.</p></section><div class=notice-board><p>The board, at the door.</p></div><p>Last.</p></article>", "First, here.\nRelated work\nOthers did it, before.\nThe board, at the door.\nLast."),
+    ("<article><p>First, here.</p><div class=related-topics><a href=x>One</a> <a href=y>Two</a></div><div class=comments-list><p>Rude, very.</p></div><div class=reader-comments>No.</div><div class=ad-leaderboard>Buy</div><div class=notice-box>Down.</div></article>", "First, here."),
     ("<div id=content class='layout has-sidebar'><p>One, two, three.</p></div><div class=left-sidebar><p>Side, side, side, side.</p></div>", "One, two, three."),
     ("<div class='sidebar-right page'><p>All of it, in here.</p><div class=share-box><p>Share it</p></div></div>", "All of it, in here."),
     ("<main><article><p>First, long, with commas, and more.</p></article><article><p>Second.</p></article><article class='comment'><p>No, no.</p></article></main>", "First, long, with commas, and more.\nSecond."),

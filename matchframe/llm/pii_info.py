@@ -4,9 +4,11 @@ Protected entities are personal data found by fixed patterns (email, ip, card, p
 stand in one text only, as their owners (mail domain, network, card issuer, phone area). A term near an entity
 (within `reach` characters) discloses it by their pointwise mutual information over the corpus,
 log2(D n(t,c) / (n(t) n(c))), against the entity's own information log2(D / n(c)); all counts are of rows, over the
-whole corpus. A term whose share reaches `threshold` and that meets the entity in at least `least_texts` different
-texts (so that mere copies prove nothing) is a span of kind `term` wherever it stands in those texts. Sanitised
-texts have entities generalised to their kind and disclosing terms removed.
+whole corpus. A term whose share reaches `threshold` is a span of kind `term` wherever it stands in those texts, if it
+either meets the entity in at least `least_texts` different texts (so that mere copies prove nothing) or is a name: it
+stands beside the entity with a capital that no sentence or line start explains, and at most a tenth of the corpus's
+rows with it write it small. For names one text is enough; other rare words of one text prove nothing. Sanitised texts
+have entities generalised to their kind and disclosing terms removed.
 
 Null text counts as empty. Repeated rows are found each; rows with a null id are told apart by their texts.
 Overlapping spans are all listed, and are removed as one stretch. An empty table gives an empty result.
@@ -30,6 +32,8 @@ PATTERNS = {
 }
 KINDS = tuple(PATTERNS)
 TERM = r"\p{L}[\p{L}\p{M}]{2,}"
+#: A capital with small letters after it, and what comes before a word that opens a sentence, a line or a quotation.
+TITLED, OPENING = r"^\p{Lu}.*\p{Ll}", r"(?:[.!?:;\u2026][\p{P}\s]*|[\r\n]\s*|[\"\u201C\u201E\u00AB]\s*)$"
 _IP = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$"
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 _PLACES = "array<struct<start:int,end:int>>"
@@ -114,7 +118,7 @@ def _owner(kind: str, value: Column) -> Column:
 
 
 def candidates(hits: DataFrame, reach: int = 60) -> DataFrame:
-    """row, doc_id, th, entity, term: each term near each entity (a value or its owner). Only texts with an entity give rows.
+    """row, doc_id, th, entity, term, name: each term near each entity (a value or its owner), and whether it is written as a name there. Only texts with an entity give rows.
 
     A text is cut into characters once and the windows beside all its entities are taken from these; only windows leave the row.
     """
@@ -128,8 +132,8 @@ def candidates(hits: DataFrame, reach: int = 60) -> DataFrame:
 
         def beside(x: Column) -> Column:
             low = F.greatest(F.lit(0), x["s"] - reach)
-            left = F.struct(part(low, x["s"] - low).alias("part"), (low > 0).alias("cut_left"), F.lit(False).alias("cut_right"))
-            right = F.struct(part(x["e"], F.lit(reach)).alias("part"), F.lit(False).alias("cut_left"), (F.size(chars) > x["e"] + reach).alias("cut_right"))
+            left = F.struct(part(low, x["s"] - low).alias("part"), (low > 0).alias("cut_left"), F.lit(False).alias("cut_right"), (low == 0).alias("first"))
+            right = F.struct(part(x["e"], F.lit(reach)).alias("part"), F.lit(False).alias("cut_left"), (F.size(chars) > x["e"] + reach).alias("cut_right"), F.lit(False).alias("first"))
             return F.struct(x["names"].alias("names"), F.array(left, right).alias("sides"))
 
         return F.transform(every, beside)
@@ -139,26 +143,34 @@ def candidates(hits: DataFrame, reach: int = 60) -> DataFrame:
     cut = F.when(F.size(every) > 0, _once(F.split("text", ""), windows))
     each = hits.select(F.monotonically_increasing_id().alias("row"), "doc_id", "th", F.explode_outer(cut).alias("x")).where("x is not null")
     each = each.select("row", "doc_id", "th", "x.names", F.explode_outer("x.sides").alias("w")).select("row", "doc_id", "th", "names", "w.*")
-    terms = each.select("row", "doc_id", "th", "names", "cut_left", "cut_right", F.length("part").alias("n"), F.explode_outer(located(F.col("part"), TERM)).alias("t")).where("t is not null")
+    terms = each.select("row", "doc_id", "th", "names", "cut_left", "cut_right", "first", "part", F.length("part").alias("n"), F.explode_outer(located(F.col("part"), TERM)).alias("t")).where("t is not null")
     whole = ~((F.col("cut_left") & (F.col("t.start") == 0)) | (F.col("cut_right") & (F.col("t.end") == F.col("n"))))
-    met = terms.where(whole).select("row", "doc_id", "th", F.lower("t.value").alias("term"), F.explode_outer("names").alias("entity"))
-    return met.select("row", "doc_id", "th", "entity", "term").distinct()
+    before = F.substring("part", F.lit(1), F.col("t.start"))
+    opens = before.rlike(OPENING) | (F.col("first") & before.rlike(r"^[\p{P}\s]*$"))
+    written = F.col("t.value").rlike(TITLED) & ~opens
+    met = terms.where(whole).select("row", "doc_id", "th", F.lower("t.value").alias("term"), written.alias("name"), F.explode_outer("names").alias("entity"))
+    return met.groupBy("row", "doc_id", "th", "entity", "term").agg(F.max("name").alias("name"))
 
 
 def disclosures(docs: DataFrame, near: DataFrame, threshold: float = 0.8, least_texts: int = 2, text_col: str = "text") -> DataFrame:
     """term, entity, share: the terms that disclose an entity. All counts are of rows of docs, and cover every row."""
-    joint = near.groupBy("term", "entity").agg(F.count_distinct("th").alias("texts"), F.count(F.lit(1)).alias("both"))
-    joint = materialise(joint.where(F.col("texts") >= least_texts), "joint")
+    joint = near.groupBy("term", "entity").agg(F.count_distinct("th").alias("texts"), F.count(F.lit(1)).alias("both"), F.max("name").alias("name"))
+    joint = materialise(joint.where((F.col("texts") >= least_texts) | F.col("name")), "joint")
     owners = near.select("entity", "row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    words = docs.select(F.explode_outer(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{M}]+"))).alias("term"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    written, small = (F.split(t, r"[^\p{L}\p{M}]+") for t in (text, F.lower(text)))
+    tagged = lambda words, is_small: F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(is_small).alias("small")))
+    # each word of a row once: those it writes small at least once, then those it never does
+    words = docs.select(F.explode_outer(F.concat(tagged(F.array_intersect(small, written), 1), tagged(F.array_except(small, written), 0))).alias("w")).select("w.*")
     # an inner join, as Spark would move a semi-join below the count, where it gives a row per occurrence
-    counted = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    counted = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"), F.sum("small").alias("n_small"))
     total = docs.count()
     out = joint.join(counted, "term").join(owners, "entity")
     joined = F.log2(total * F.col("both") / (F.greatest("n_term", "both") * F.col("n_entity")))
     own = F.log2(total / F.col("n_entity"))
     share = F.when(own > 0, joined / own).otherwise(F.lit(0.0))
-    return out.select("term", "entity", share.alias("share")).where(F.col("share") >= threshold)
+    proved = (F.col("texts") >= least_texts) | (10 * F.col("n_small") <= F.col("n_term"))
+    return out.where(proved).select("term", "entity", share.alias("share")).where(F.col("share") >= threshold)
 
 
 def term_spans(docs: DataFrame, hits: DataFrame, threshold: float, least_texts: int, reach: int, text_col: str = "text") -> DataFrame:

@@ -416,6 +416,44 @@ def test_disclosing_terms(spark):
     assert pii_info.sanitise(docs).columns == docs.columns
 
 
+def test_names_of_one_text(spark):
+    """A name beside an address is a term in its only text; words that open a sentence, that others write small, or that are merely rare are not."""
+    texts = {
+        1: "please ask Marlowe at m.lowe@corp.example about it. Zuvrek came too",
+        2: "ended here. Quandrel wrote to x.y@other.example, the vorplix of all\nBrindlo was there",
+        3: "ask for the Harbour at h.h@third.example when there", 4: "from Odalys, +1 (499) 555-6503, to all", 5: "Tessaly: t.t@fourth.example",
+        6: "see 10.0.0.7 \u201cGwendolen said so", 7: "by ÉLODIE or Élodie-Marguerite at e.m@fifth.example",
+    }
+    texts |= {100 + k: f"note {k} says please ask for the harbour at all, and others came from there when it ended {'x' * k}" for k in range(60)}
+    docs = documents(spark, list(texts.items()))
+    got = {r.doc_id: [texts[r.doc_id][int(a) : int(b)].lower() for k, a, b in (s.split(":") for s in r.spans.split(",")) if k == "term"] for r in pii_info.find(docs).where("n_term > 0").collect()}
+    assert got == {1: ["marlowe"], 4: ["odalys"], 7: ["élodie", "élodie", "marguerite"]}
+    clean = {r.doc_id: r.text for r in pii_info.sanitise(docs).collect()}
+    assert clean[1] == "please ask [TERM] at [EMAIL] about it. Zuvrek came too" and clean[2] == texts[2].replace("x.y@other.example", "[EMAIL]")
+    assert clean[110] == texts[110]
+
+
+def test_planted_names_are_terms(spark, small):
+    """Names planted beside addresses in half of the given documents: all found, the other documents left as they are."""
+    rng = random.Random(8)
+    rows, planted = [], {}
+    for r in small.select("doc_id", "text").dropDuplicates(["doc_id"]).collect():
+        w = (r.text or "").split(" ")
+        if r.doc_id % 2:
+            name = "".join(rng.choice(("Bal", "Cor", "Dim", "Fel"))) + "".join(rng.choice(("ando", "ewyn", "ikko", "urro", "ozar")) for _ in range(4))
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = ["written", "by", name, f"(n{r.doc_id}@place{r.doc_id}.example)"]
+            planted[r.doc_id] = name.lower()
+        rows.append((r.doc_id, " ".join(w)))
+    texts = dict(rows)
+    found = {}
+    for r in pii_info.find(documents(spark, rows)).where("n_term > 0").collect():
+        found[r.doc_id] = {texts[r.doc_id][int(a) : int(b)].lower() for k, a, b in (s.split(":") for s in r.spans.split(",")) if k == "term"}
+    hit = sum(name in found.get(k, ()) for k, name in planted.items())
+    assert hit >= 0.95 * len(planted) and len(planted) > 50
+    assert sum(map(len, found.values())) <= 1.3 * hit  # rare words that stand capitalised beside an address are told too
+
+
 def test_disclosing_terms_against_brute_force(spark, small):
     """Mutual information from plain counts over rows, repeated rows and null ids included."""
     rng = random.Random(2)
@@ -702,6 +740,44 @@ def test_dual_coordinate_descent_separates():
     assert all(np.sign(quality_nbsvm.decision(x, weights, bias)) == t for x, t in zip(rows, y))
 
 
+def test_descent_reaches_the_least_objective():
+    """The fit's objective against that of a plain solver, projected gradient on the whole dual."""
+    draw = np.random.default_rng(5)
+    rows = [np.unique(np.concatenate([draw.integers(0, 40, 12), [40 + (k + (k % 7 == 0)) % 2]])) for k in range(60)]
+    y = np.array([1.0 if k % 2 else -1.0 for k in range(60)])
+    weights, bias = quality_nbsvm.train(rows, y, epochs=2000)
+    x = np.zeros((60, weights.shape[1]))
+    for k, r in enumerate(rows):
+        x[k, r] = weights[1][r]
+        x[k] /= max(np.linalg.norm(x[k]), 1e-9)
+    objective = lambda w, b: 0.5 * (w @ w + b * b) + np.maximum(0, 1 - y * (x @ w + b)).sum()
+    signed, alpha = np.column_stack([x, np.ones(60)]) * y[:, None], np.zeros(60)
+    step = 1 / np.linalg.eigvalsh(signed @ signed.T).max()
+    for _ in range(20_000):
+        alpha = np.clip(alpha + step * (1 - signed @ (signed.T @ alpha)), 0, 1)
+    best = signed.T @ alpha
+    assert abs(objective(weights[0], bias) - objective(best[:-1], best[-1])) < 1e-2 * objective(best[:-1], best[-1])
+
+
+def test_ratios_against_plain_counts(spark):
+    """Every n-gram has a ratio of its own, from counts of the sample's rows outside the fold of the curve."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_nbsvm.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    ones, zeros, n = collections.Counter(), collections.Counter(), 0
+    for r in labels.collect():
+        text = texts.get(r.doc_id)
+        if r.doc_id in texts and zlib.crc32(str(r.doc_id).encode()) % 5 and zlib.crc32((text or "").encode()) % 5:
+            (ones if r.quality == 1 else zeros).update(quality_nbsvm.indicators(text, quality_nbsvm.Shapes()))
+            n += 1
+    every = ones.keys() | zeros.keys()
+    a, b = (sum(c.values()) + len(every) for c in (ones, zeros))
+    want = {g: math.log((ones[g] + 1) / a) - math.log((zeros[g] + 1) / b) for g in every if ones[g] + zeros[g] >= quality_nbsvm.LEAST_DOCS}
+    got = {g: model["weights"][1][k] for g, k in model["number"].items()}
+    assert n > 50 and len(got) > 200
+    assert got.keys() <= want.keys() and all(abs(got.get(g, 0) - want[g]) < 1e-9 for g in want)
+
+
 # Web pages
 
 PAGES = [

@@ -197,12 +197,16 @@ def link_resolve_names(spark, d):
     return link.resolve_by_name(rows, players).select("pid", "mid")
 
 
-@query(f"""SELECT coalesce(a.tour, b.tour) AS tour, coalesce(a.bio_id, b.bio_id) AS bio_id, a.rank, CAST(CASE WHEN a.tour = 'wta' THEN round_even(a.pts / 100.0, 0) ELSE a.pts END AS INTEGER) AS pts, b.ytd_pts
-FROM (SELECT * FROM fx_rankings WHERE snapshot_date = DATE '1998-03-01') a FULL JOIN (SELECT * FROM fx_rankings WHERE snapshot_date = DATE '1998-04-01') b ON a.tour = b.tour AND a.bio_id = b.bio_id""")
+@query("""WITH dy AS (SELECT max(snapshot_date) AS newest FROM fx_rankings), be AS (SELECT max(snapshot_date) AS earlier FROM fx_rankings, dy WHERE snapshot_date < newest)
+SELECT coalesce(a.tour, b.tour) AS tour, coalesce(a.bio_id, b.bio_id) AS bio_id, a.rank, CAST(CASE WHEN a.tour = 'wta' THEN round_even(a.pts / 100.0, 0) ELSE a.pts END AS INTEGER) AS pts, b.ytd_pts
+FROM (SELECT r.* FROM fx_rankings r, be WHERE snapshot_date = earlier) a FULL JOIN (SELECT r.* FROM fx_rankings r, dy WHERE snapshot_date = newest) b ON a.tour = b.tour AND a.bio_id = b.bio_id""")
 def rank_merge_lists(spark, d):
+    """The points list of the last snapshot but one with the race list of the last."""
     r = table(spark, d, "fx_rankings")
-    t12m = r.where("snapshot_date = date'1998-03-01'").select("tour", "bio_id", "rank", F.col("pts").alias("points"))
-    return ranks.merge_rankings(t12m, r.where("snapshot_date = date'1998-04-01'").select("tour", "bio_id", F.col("ytd_pts").alias("race_points")))
+    newest = r.agg(F.max("snapshot_date").alias("day"))  # one row, as is the next
+    earlier = r.join(F.broadcast(newest), F.col("snapshot_date") < F.col("day")).agg(F.max("snapshot_date").alias("day"))
+    on = lambda day: r.join(F.broadcast(day), F.col("snapshot_date") == F.col("day"))
+    return ranks.merge_rankings(on(earlier).select("tour", "bio_id", "rank", F.col("pts").alias("points")), on(newest).select("tour", "bio_id", F.col("ytd_pts").alias("race_points")))
 
 
 @query("WITH " + SIDES + """ SELECT tr.id, tr.tour, tr.bio_id, date AS at, r.rank, r.pts, r.snapshot_date FROM tr ASOF LEFT JOIN fx_rankings r ON r.tour = tr.tour AND r.bio_id = tr.bio_id AND r.snapshot_date <= tr.date""")
@@ -293,9 +297,10 @@ def project_stakes_top(spark, d):
     return project.top_stakes(_live_rows(spark, d), _event_types(spark, d))
 
 
-@query("WITH " + STAKES + ", c AS (SELECT * FROM sk WHERE event_id = 'ev1' ORDER BY max_gain DESC, id LIMIT 12) SELECT id, greatest(0, max_gain) AS gain, exp_gain, least(0, worst_case) AS loss FROM c")
+@query("WITH " + STAKES + """, c AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY max_gain DESC, id) AS n FROM sk)
+SELECT event_id, id, greatest(0, max_gain) AS gain, exp_gain, least(0, worst_case) AS loss FROM c WHERE n <= 12""")
 def project_chart(spark, d):
-    return project.chart_rows(project_stakes(spark, d).where("event_id = 'ev1'"))
+    return project.chart_rows(project_stakes(spark, d))
 
 
 CALENDAR = [("c1", "M1000", "H", 0), ("c2", "W500", "C", 3), ("c3", "M1000", "C", 5), ("c4", "GS", "C", 9), ("c5", "W250", "G", 12), ("c6", "GS", "G", 15), ("c7", "W500", "H", 19), ("c8", "M1000", "H", 21), ("c9", "GS", "H", 23)]
@@ -396,12 +401,14 @@ def quality_freshness(spark, d):
     return quality.freshness(m, spans, "1998-08-05")
 
 
-@query("""WITH a AS (SELECT tour, bio_id, pts FROM fx_rankings WHERE snapshot_date = DATE '1998-03-01'), b AS (SELECT tour, bio_id, pts + CASE WHEN bio_id % 5 = 0 THEN 100 ELSE 0 END AS pts FROM fx_rankings WHERE snapshot_date = DATE '1998-03-01' AND bio_id % 7 <> 0)
-SELECT coalesce(a.tour, b.tour) AS tour, coalesce(a.bio_id, b.bio_id) AS bio_id, a.pts AS a_value, b.pts AS b_value FROM a FULL JOIN b ON a.tour = b.tour AND a.bio_id = b.bio_id WHERE coalesce(abs(a.pts - b.pts) * 100 > 2 * abs(a.pts), true)""")
+@query("""WITH a AS (SELECT tour, bio_id, snapshot_date, pts FROM fx_rankings),
+b AS (SELECT tour, bio_id, snapshot_date, pts + CASE WHEN bio_id % 5 = 0 THEN 100 ELSE 0 END AS pts FROM fx_rankings WHERE bio_id % 7 <> 0)
+SELECT tour, bio_id, snapshot_date, a.pts AS a_value, b.pts AS b_value FROM a FULL JOIN b USING (tour, bio_id, snapshot_date) WHERE coalesce(abs(a.pts - b.pts) * 100 > 2 * abs(a.pts), true)""")
 def quality_deviation(spark, d):
-    a = table(spark, d, "fx_rankings").where("snapshot_date = date'1998-03-01'").select("tour", "bio_id", "pts")
+    """All snapshots against a second source that lacks some competitors and has other points for some."""
+    a = table(spark, d, "fx_rankings").select("tour", "bio_id", "snapshot_date", "pts")
     b = a.where("bio_id % 7 <> 0").withColumn("pts", F.col("pts") + F.when(F.col("bio_id") % 5 == 0, 100).otherwise(0))
-    return quality.deviation(a, b, ["tour", "bio_id"], "pts")
+    return quality.deviation(a, b, ["tour", "bio_id", "snapshot_date"], "pts")
 
 
 @query("WITH " + SIDES + f""", s AS (SELECT tour, mid, max(date) AS latest, bool_or(coalesce(active, false) AND date >= DATE '{AS_OF}' - 14) AS pl FROM sd WHERE date <= DATE '{AS_OF}' GROUP BY tour, mid)

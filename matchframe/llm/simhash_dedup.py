@@ -8,11 +8,13 @@ distance. A cell with more fingerprints than `cell_limit` is refined to segments
 fingerprint, at most 65 fingerprints a cell, and any two that share one are within 2 bits. So no group grows
 with the data, and no cell gives pairs by the square of its size: each gives a spanning forest of its links.
 
-The training set's near copies (`keep_one`) are those of 5-word Jaccard similarity 0.8 or more. Their fingerprints are
-some 10 bits apart, and 16 at times: at that radius the grid rules nothing out, so candidates come from a prefix
-join: such sets share a shingle among the first fifth of each in one order of all shingles. As in the grid, a
-popcount is the lower bound: that of two parity bitmaps' difference never exceeds the sets' difference. What it
-does not rule out is verified by the whole sets.
+The training set's near copies (`keep_one`) are those of 5-word Jaccard similarity 0.8 or more. The grid finds them
+first, on fingerprints of the sets of 5-word shingles, and what it links is verified by the whole sets. At similarity
+0.8 fingerprints are some 10 bits apart, and 16 at times; at that radius the grid rules nothing out, so an exact check
+of what is still apart follows: such sets share a shingle among the first fifth of each in one order of all shingles.
+As in the grid, a popcount is the lower bound: that of two parity bitmaps' difference never exceeds the sets'
+difference. It is taken where the sets meet, so only pairs that it does not rule out leave a task; they are verified by
+the whole sets.
 
 Null text counts as empty; empty texts have fingerprint zero and link like any other. Rows with one id twice
 stay separate rows of one node of the graph and get the same component. A null id gets its fingerprint's component.
@@ -48,7 +50,11 @@ def fingerprint_of(text: str | None, width: int = 3) -> int:
     if not words:
         return 0
     shingles = map(b" ".join, zip(*(words[k:] for k in range(width)))) if len(words) >= width else [b" ".join(words)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that more than half of the hashes have."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), _CHUNK):
         part = hashes[k : k + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -235,6 +241,11 @@ def set_key(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes()) - (1 << 63)
 
 
+def set_prints(sets: list[np.ndarray]) -> np.ndarray:
+    """SimHash of each set, as signed longs; the hashes have 63 bits, which a factor spreads over 64."""
+    return np.fromiter((majority(s * _ODD) for s in sets), np.uint64, len(sets)).view(np.int64)
+
+
 def parity_map(hashes: np.ndarray) -> bytes:
     """For each place of a bitmap twice as large as the set, whether an odd number of its hashes fall there."""
     size = max(512, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else 512
@@ -251,6 +262,34 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+class ParityMaps:
+    """The parity maps of many rows, for popcounts of many pairs at once; maps of each size, and larger ones folded to it, are one matrix."""
+
+    def __init__(self, maps: list[bytes]):
+        self.maps, self.sizes, self.folded = maps, np.fromiter(map(len, maps), np.int64, len(maps)), {}
+
+    def _of(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        if size not in self.folded:
+            rows = np.flatnonzero(self.sizes >= size)
+            parts = (np.bitwise_xor.reduce(np.frombuffer(self.maps[k], np.uint64).reshape(-1, size // 8), axis=0) for k in rows.tolist())
+            place = np.zeros(len(self.maps), np.int64)
+            place[rows] = np.arange(len(rows))
+            self.folded[size] = place, np.stack(list(parts))
+        return self.folded[size]
+
+    def differences(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """least_difference of the maps at i and j, pair by pair."""
+        out = np.zeros(len(i), np.int64)
+        least = np.minimum(self.sizes[i], self.sizes[j])
+        for size in np.unique(least).tolist():
+            place, maps = self._of(size)
+            at = np.flatnonzero(least == size)
+            for k in range(0, len(at), _CHUNK):
+                some = at[k : k + _CHUNK]
+                out[some] = np.bitwise_count(maps[place[i[some]]] ^ maps[place[j[some]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def common_shingles(docs: DataFrame) -> np.ndarray:
     """Hashes of shingles in more than COMMON of a bounded sample of documents, sorted; their number is bounded by the words of a document over COMMON.
 
@@ -267,7 +306,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), key (of the set of shingles), n (its size), bits (its parity map), prefix: the first shingles in one order of all shingles, common ones last.
+    """doc_id, th (hash of the text), key (of the set of shingles), fp (its fingerprint), n (its size), bits (its parity map), prefix: the first shingles in one order of all shingles, common ones last.
 
     Two sets of Jaccard similarity 0.8 or more share a shingle within these prefixes, whatever the order.
     """
@@ -284,11 +323,11 @@ def prefixes(docs: DataFrame) -> DataFrame:
                 heads.append(s[:size].view(np.int64))
             ends = np.cumsum([0] + [len(h) for h in heads]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(parity_map, sets), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads)))],
-                ["doc_id", "th", "key", "n", "bits", "prefix"],
+                [batch.column(0), batch.column(1), pa.array([set_key(s) for s in sets], pa.int64()), pa.array(set_prints(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(parity_map, sets), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads)))],
+                ["doc_id", "th", "key", "fp", "n", "bits", "prefix"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), text_hash(), "text").mapInArrow(run, "doc_id long, th long, key long, n long, bits binary, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), text_hash(), "text").mapInArrow(run, "doc_id long, th long, key long, fp long, n long, bits binary, prefix array<long>")
 
 
 def text_hash() -> Column:
@@ -321,22 +360,74 @@ def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in kept], ["h", "n", "key"])
 
 
-def _meeting(lags: range | None):
-    """Pairs of sets that share a shingle of their prefixes and can be similar: neighbours by size only, or all of different components."""
+def whole_tables(batches: Iterator[pa.RecordBatch], size: int = 100_000) -> Iterator[pa.Table]:
+    """As whole_groups, with columns of any type: tables that do not cut a run of equal values of the first column."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= size:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            h = rows.column(0).to_numpy()
+            whole = int(np.searchsorted(h, h[-1]))  # the last group may go on in the next batch
+            if whole:
+                yield rows.slice(0, whole)
+            held = rows.slice(whole).to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def meeting(h: np.ndarray, n: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of one group h, different labels and sizes that allow similarity 0.8; rows come by h and n."""
+    live, lag = np.arange(len(h)), 1
+    while len(live):
+        live = live[live + lag < len(h)]
+        live = live[(h[live] == h[live + lag]) & (5 * n[live] >= 4 * n[live + lag])]  # sorted by size: further ones are larger
+        for k in range(0, len(live), _CHUNK):
+            some = live[k : k + _CHUNK]
+            some = some[label[some] != label[some + lag]]
+            if len(some):
+                yield some, some + lag
+        lag += 1
+
+
+def pairs_of(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
+    """u, v: the different pairs, the smaller key first."""
+    none = [np.empty(0, np.int64)]
+    pairs = np.stack([np.concatenate(left or none), np.concatenate(right or none)])
+    pairs = np.unique(np.stack([pairs.min(axis=0), pairs.max(axis=0)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of sets that share a shingle of their prefixes and are next to one another by size."""
+    for h, n, key in whole_groups(batches):
+        at = np.flatnonzero((h[1:] == h[:-1]) & (5 * n[:-1] >= 4 * n[1:]))
+        yield pairs_of([key[at]], [key[at + 1]])
+
+
+def _apart(nearest: bool):
+    """Pairs of sets of different components that share a shingle of their prefixes and that their parity maps do not rule out: all, or for each set the most alike in each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, n, key, label in whole_groups(batches):
-            left, right, live, lag = [], [], np.arange(len(h)), 1
-            while len(live) and (lags is None or lag in lags):
-                live = live[live + lag < len(h)]
-                live = live[(h[live] == h[live + lag]) & (5 * n[live] >= 4 * n[live + lag])]  # sorted by size: further ones are larger
-                good = live[label[live] != label[live + lag]]
-                left.append(key[good])
-                right.append(key[good + lag])
-                lag += 1
-            if left:
-                pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], ["u", "v"])
+        for rows in whole_tables(batches):
+            h, n, key, label = (rows.column(k).to_numpy() for k in range(4))
+            maps, left, right = ParityMaps(rows.column(4).to_pylist()), [], []
+            best, who = np.full(len(h), np.inf), np.full(len(h), -1)
+            for i, j in meeting(h, n, label):
+                apart, both = maps.differences(i, j), n[i] + n[j]
+                able = 9 * apart <= both  # sets of similarity 0.8 or more differ in a ninth of their shingles at most
+                i, j, share = i[able], j[able], apart[able] / both[able]
+                if not nearest:
+                    left.append(key[i])
+                    right.append(key[j])
+                    continue
+                for a, b in ((i, j), (j, i)):
+                    more = share < best[a]
+                    best[a[more]], who[a[more]] = share[more], b[more]
+            if nearest:
+                at = np.flatnonzero(who >= 0)
+                left, right = [key[at]], [key[who[at]]]
+            yield pairs_of(left, right)
 
     return run
 
@@ -357,6 +448,19 @@ def _verified(docs: DataFrame, pairs: DataFrame, distinct: DataFrame) -> DataFra
     return confirmed(docs, materialise(met.mapInArrow(_able, "u long, v long"), "pairs"), distinct)
 
 
+def _undecided(rows: DataFrame) -> DataFrame:
+    """The rows of shingles that sets of different components share."""
+    several = rows.groupBy(F.col("h").alias("hm")).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return rows.join(several, F.col("h") == F.col("hm"), "left_semi")
+
+
+def grid_pairs(distinct: DataFrame) -> DataFrame:
+    """u, v: keys of sets of one fingerprint, and of fingerprints that the grid links."""
+    reps = materialise(distinct.groupBy("fp").agg(F.min("key").alias("rep")), "distinct-fingerprints")
+    same = distinct.select("key", "fp").join(reps, "fp").where("key <> rep").select(F.col("key").alias("u"), F.col("rep").alias("v"))
+    return links(reps).union(same).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame, distinct: DataFrame, width: int = WIDTH) -> DataFrame:
     """The pairs of keys whose whole sets of shingles have Jaccard similarity 0.8 or more. Only texts of such keys are read again; distinct has key, doc_id, th."""
     keys = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
@@ -378,13 +482,17 @@ def confirmed(docs: DataFrame, pairs: DataFrame, distinct: DataFrame, width: int
 def similar(docs: DataFrame) -> DataFrame:
     """doc_id, th, kept: groups of texts linked by 5-word Jaccard similarity of 0.8 or more; kept where the row has the group's smallest (doc_id, key). No row for null ids.
 
-    First neighbours by size are compared for each shared shingle, then all pairs that are not yet in one group, so
-    that a large group of near copies does not give pairs by the square of its size.
+    First the grid's links are verified. Of what is still apart, neighbours by size are compared for each shared shingle,
+    then each set with the most alike of another group, then all pairs that are not yet in one group, so that a large
+    group of near copies does not give pairs by the square of its size.
     """
     bounded_batches(docs.sparkSession)
     prints = materialise(prefixes(docs).where("doc_id is not null"), "prefixes")
-    distinct = prints.groupBy("key").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    distinct = materialise(distinct.select("key", "first.*", "n", "bits"), "distinct-sets")
+    distinct = prints.groupBy("key").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits"))
+    distinct = materialise(distinct.select("key", "first.*", "n", "fp", "bits"), "distinct-sets")
+    grouped = lambda found: components(found).select(F.col("u").alias("key"), "component")
+    found = materialise(_verified(docs, grid_pairs(distinct), distinct), "links")
+    named = grouped(found)
     firsts = distinct.select("key", F.col("doc_id").alias("d1"), F.col("th").alias("t1"))
     copies = prints.select("doc_id", "th", "key").join(firsts, "key").where("doc_id <> d1 or th <> t1").select("doc_id", "th").distinct()
     copies = materialise(copies, "exact-copies")
@@ -393,12 +501,24 @@ def similar(docs: DataFrame) -> DataFrame:
     once = prints.join(copies, ["doc_id", "th"], "left_anti").select("n", "key", F.explode_outer("prefix").alias("h")).where("h is not null")
     by_shingle = lambda rows: rows.repartition("h").sortWithinPartitions("h", "n", "key")
     shared = materialise(by_shingle(once.select("h", "n", "key")).mapInArrow(shared_rows, "h long, n long, key long"), "shared-shingles")
-    near = by_shingle(shared.withColumn("label", F.col("key"))).mapInArrow(_meeting(range(1, 2)), "u long, v long")
-    first = materialise(_verified(docs, near, distinct), "links")
-    named = components(first).select(F.col("u").alias("key"), "component")
-    labelled = shared.join(named, "key", "left").select("h", "n", "key", F.coalesce("component", "key").alias("label"))
-    rest = by_shingle(labelled).mapInArrow(_meeting(None), "u long, v long")
-    named = components(first.union(_verified(docs, rest, distinct))).select(F.col("u").alias("key"), "component")
+    end = lambda name: named.select(F.col("key").alias(name), F.col("component").alias(f"{name}c"))
+    near = by_shingle(shared).mapInArrow(_neighbours, "u long, v long").distinct().join(end("u"), "u", "left").join(end("v"), "v", "left")
+    near = near.where(F.coalesce("uc", "u") != F.coalesce("vc", "v")).select("u", "v")
+    later = materialise(_verified(docs, near, distinct), "links")
+    for nearest in (True, False):
+        if not later.isEmpty():
+            found = found.union(later)
+            named = grouped(found)
+        labels = distinct.select("key", "bits").join(named, "key", "left").select("key", F.coalesce("component", "key").alias("label"), "bits")
+        labels = materialise(labels, "labels")
+        shared = materialise(_undecided(shared.join(labels.drop("bits"), "key")).select("h", "n", "key"), "mixed-shingles")
+        rows = by_shingle(shared.join(labels, "key").select("h", "n", "key", "label", "bits"))
+        apart = materialise(rows.mapInArrow(_apart(nearest), "u long, v long").distinct(), "pairs")
+        if apart.isEmpty():  # no two sets of different groups are alike enough
+            break
+        later = materialise(confirmed(docs, apart, distinct), "links")
+    else:
+        named = grouped(found.union(later))
     groups = distinct.join(named, "key", "left").select("key", "doc_id", F.coalesce("component", "key").alias("component"))
     smallest = groups.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("kept"))
     groups = groups.join(smallest, "component").select("key", "kept")

@@ -315,3 +315,51 @@ def test_stages_take_columns_of_any_name(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, _gone_id string, _gone_th string")
     kept = simhash_dedup.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
+
+
+def hot_sets(seed, count=60):
+    """Sets that share one passage: most unlike one another, some near copies, of sizes whose parity maps differ."""
+    draw = np.random.default_rng(seed)
+    passage = np.sort(draw.integers(0, 1 << 63, 400).astype(np.uint64))
+    sets = [np.union1d(passage, draw.integers(0, 1 << 63, int(k)).astype(np.uint64)) for k in draw.integers(80, 170, count)]
+    return sets + [np.union1d(s[: -len(s) // 15], draw.integers(0, 1 << 63, 8).astype(np.uint64)) for s in sets[::4]]
+
+
+def test_pairs_of_a_hot_shingle_are_ruled_out_where_they_meet():
+    """All sets share one shingle. What leaves the task are the similar pairs and few others, not all pairs."""
+    sets = sorted(hot_sets(3), key=len)
+    maps = [simhash_dedup.parity_map(s) for s in sets]
+    held, n = simhash_dedup.ParityMaps(maps), len(sets)
+    i, j = (np.array(x) for x in zip(*((a, b) for a in range(n) for b in range(n))))
+    assert held.differences(i, j).tolist() == [simhash_dedup.least_difference(maps[a], maps[b]) for a, b in zip(i, j)] and len(set(map(len, maps))) > 1
+    alike = {(a, b) for a in range(n) for b in range(a + 1, n) if 9 * len(np.intersect1d(sets[a], sets[b])) >= 4 * (len(sets[a]) + len(sets[b]))}
+    columns = [pa.array([7] * n), pa.array(map(len, sets), pa.int64()), pa.array(range(n)), pa.array(range(n)), pa.array(maps, pa.binary())]
+    batches = [pa.RecordBatch.from_arrays([c.slice(k, 10) for c in columns], ["h", "n", "key", "label", "bits"]) for k in range(0, n, 10)]
+    pairs = lambda nearest: {p for b in simhash_dedup._apart(nearest)(iter(batches)) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    assert len(alike) >= 15 and alike <= pairs(False) and len(pairs(False)) < n < n * (n - 1) // 20
+    assert pairs(True) <= pairs(False) and {k for p in pairs(True) for k in p} == {k for p in pairs(False) for k in p}
+
+
+def test_grid_finds_near_copies_of_the_training_set(spark):
+    """The pipeline's near-duplicate stage goes through the grid of fingerprints, of sets of 5-word shingles."""
+    draw = random.Random(8)
+    texts = []
+    for _ in range(30):
+        words = [f"w{draw.randrange(3000)}" for _ in range(400)]
+        texts += [" ".join(words), " ".join(words[:-1] + ["other"]), " ".join(words[:-2] + ["quite", "other"])]
+    prints = simhash_dedup.prefixes(documents(spark, list(enumerate(texts))))
+    fps = {r.key: r.fp for r in prints.select("key", "fp").collect()}
+    assert {r.doc_id: r.fp for r in prints.collect()} == {k: int(simhash_dedup.set_prints(simhash_dedup.shingle_sets(pa.array([t])))[0]) for k, t in enumerate(texts)}
+    pairs = {(r.u, r.v) for r in simhash_dedup.grid_pairs(prints.select("key", "fp")).collect()}
+    near = {(a, b) for a in fps for b in fps if a < b and ((fps[a] ^ fps[b]) & (1 << 64) - 1).bit_count() <= 2}
+    assert len(near) >= 30
+
+    def groups(links):
+        label = {k: k for k in fps}
+        for _ in fps:
+            for a, b in links:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    assert groups(pairs) == groups(near)
+    assert {r.doc_id for r in simhash_dedup.keep_one(documents(spark, list(enumerate(texts)))).collect()} == set(range(0, 90, 3))

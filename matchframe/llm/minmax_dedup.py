@@ -4,11 +4,13 @@ Every permutation of the shingles' hashes gives two values of a signature, its m
 permutations make 256 values, at half the hash evaluations of minima alone; the share of equal values is an unbiased
 estimate of the Jaccard similarity, of lower variance than that of as many independent minima. 51 bands of 5 values
 put two sets of similarity 0.8 in one bucket with probability 1 - (1 - 0.8^5)^51, all but 2 in 10^9; pairs that meet
-are compared by all values of their signatures, and those that may be similar by their whole sets.
+are compared by all values of their signatures, then by popcounts of parity bitmaps, which never exceed what the sets
+differ by and so rule out no link, and those that may be similar by their whole sets.
 
 Equal sets are one node, and rows of one id are one node. First neighbours by hash in the buckets of a few bands are
 compared, which joins most of a large group of near copies; then neighbours of different components in all buckets;
-then, in buckets with several components left, all sets of different components, inside the task: pairs leave it only where signatures agree. Of such buckets those with more than `crowd`
+then, in buckets with several components left, all sets of different components, inside the task: pairs leave it only where signatures agree
+and bitmaps do not rule them out, first for each set the most alike in a bucket, then, once these are linked, all. Of such buckets those with more than `crowd`
 rows are split by every other band (a pair of similarity 0.8 shares 17 of the 51 on average, and only its own with
 2 in 10^9).
 
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialise, parts_of
-from .simhash_dedup import components, confirmed, set_key, shared_rows, shingle_sets, text_hash, whole_groups
+from .simhash_dedup import ParityMaps, components, confirmed, meeting, pairs_of, parity_map, set_key, shared_rows, shingle_sets, text_hash, whole_groups, whole_tables
 
 WIDTH, PERMUTATIONS, BANDS, ROWS = 4, 128, 51, 5
 #: Equal values of the 256 below which a pair is not looked at further: a pair of similarity 0.8 has 205 on average with a deviation of 6.4 at most.
@@ -79,7 +81,7 @@ def bands(values: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, th (hash of the text), key (of the set), n (its size), sig (a byte of each value of the signature), bands."""
+    """doc_id, th (hash of the text), key (of the set), n (its size), sig (a byte of each value of the signature), bits (the set's parity map), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts_of(batches, 2):
@@ -89,12 +91,12 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             hashes = pa.array(bands(values).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), hashes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(map(set_key, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([row.tobytes() for row in short], pa.binary()), lists],
-                ["doc_id", "th", "key", "n", "sig", "bands"],
+                [batch.column(0), batch.column(1), pa.array(map(set_key, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([row.tobytes() for row in short], pa.binary()), pa.array(map(parity_map, sets), pa.binary()), lists],
+                ["doc_id", "th", "key", "n", "sig", "bits", "bands"],
             )
 
     columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return columns.select("doc_id", text_hash(), "text").mapInArrow(run, "doc_id long, th long, key long, n long, sig binary, bands array<long>")
+    return columns.select("doc_id", text_hash(), "text").mapInArrow(run, "doc_id long, th long, key long, n long, sig binary, bits binary, bands array<long>")
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,37 +117,33 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs.filter(pa.array(equal >= LEAST_EQUAL))
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in a bucket whose signatures agree; rows come by bucket and size."""
-
-    def out(h: np.ndarray, n: np.ndarray, key: np.ndarray, label: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
-        left, right, live, lag = [], [], np.arange(len(h)), 1
-        while len(live):
-            live = live[live + lag < len(h)]
-            live = live[(h[live] == h[live + lag]) & (5 * n[live] >= 4 * n[live + lag])]  # sorted by size: further ones are larger
-            for k in range(0, len(live), _SLICE):
-                some = live[k : k + _SLICE]
-                some = some[label[some] != label[some + lag]]
-                some = some[(sig[some] == sig[some + lag]).sum(axis=1) >= LEAST_EQUAL]
-                left.append(key[some])
-                right.append(key[some + lag])
-            lag += 1
-        pairs = np.unique(np.stack([np.concatenate(left or [key[:0]]), np.concatenate(right or [key[:0]])]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], ["u", "v"])
-
-    held: list[np.ndarray] = []
-    sigs: list[np.ndarray] = []
-    for batch in batches:
-        held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]))
-        sigs.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, 2 * PERMUTATIONS))
-        if sum(map(len, sigs)) >= 100_000:
-            rows, sig = np.concatenate(held, axis=1), np.concatenate(sigs)
-            whole = int(np.searchsorted(rows[0], rows[0][-1]))  # the last bucket may go on in the next batch
-            if whole:
-                yield out(*rows[:, :whole], sig[:whole])
-            held, sigs = [rows[:, whole:]], [sig[whole:]]
-    if held:
-        yield out(*np.concatenate(held, axis=1), np.concatenate(sigs))
+def _across(nearest: bool):
+    """Pairs of different components in a bucket whose signatures agree and whose parity maps do not rule them out: all, or for each set the most alike in each bucket. Rows come by bucket and size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_tables(batches):
+            h, n, key, label = (rows.column(k).to_numpy() for k in range(4))
+            sig = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint8).reshape(-1, 2 * PERMUTATIONS)
+            maps, left, right = ParityMaps(rows.column(5).to_pylist()), [], []
+            best, who = np.full(len(h), -1), np.full(len(h), -1)
+            for i, j in meeting(h, n, label):
+                equal = (sig[i] == sig[j]).sum(axis=1)
+                i, j, equal = (x[equal >= LEAST_EQUAL] for x in (i, j, equal))
+                able = 9 * maps.differences(i, j) <= n[i] + n[j]  # sets of similarity 0.8 or more differ in a ninth of their shingles at most
+                i, j, equal = i[able], j[able], equal[able]
+                if not nearest:
+                    left.append(key[i])
+                    right.append(key[j])
+                    continue
+                for a, b in ((i, j), (j, i)):
+                    more = equal > best[a]
+                    best[a[more]], who[a[more]] = equal[more], b[more]
+            if nearest:
+                at = np.flatnonzero(who >= 0)
+                left, right = [key[at]], [key[who[at]]]
+            yield pairs_of(left, right)
+
+    return run
 
 
 def _merged(labels: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -187,17 +185,22 @@ def groups(docs: DataFrame, distinct: DataFrame, crowd: int = CROWD) -> DataFram
     tried = materialise(best.union(rest.select("u", "v")), "tried")
     fresh = rest.join(best, ["u", "v"], "left_anti").select("u", "v")
     labels = _merged(labels, confirmed(docs, materialise(fresh, "pairs"), distinct, WIDTH))
-    # then all that is still apart in a bucket
-    mixed = mix(labels)
-    full = mixed.where(F.col("size") > crowd)
-    if not full.isEmpty():
-        again = full.join(distinct.select("key", "bands"), "key").select(F.explode(F.filter("bands", lambda b: b != F.col("h"))).alias("b"), "h", "n", "key", "label")
-        parts = materialise(again.select(F.xxhash64("h", "b").alias("h"), "n", "key", "label"), "split-buckets")
-        mixed = mixed.where(F.col("size") <= crowd).union(_mixed(parts))
-    met = mixed.join(distinct.select("key", "sig"), "key").select("h", "n", "key", "label", "sig")
-    late = met.repartition("h").sortWithinPartitions("h", "n", "key").mapInArrow(_across, "u long, v long").distinct()
-    late = materialise(late.join(tried, ["u", "v"], "left_anti"), "pairs")
-    return _merged(labels, confirmed(docs, late, distinct, WIDTH))
+    # then all that is still apart in a bucket: for each set the most alike first, so that a large group does not give pairs by the square of its size
+    for nearest in (True, False):
+        mixed = mix(labels)
+        full = mixed.where(F.col("size") > crowd)
+        if not full.isEmpty():
+            again = full.join(distinct.select("key", "bands"), "key").select(F.explode(F.filter("bands", lambda b: b != F.col("h"))).alias("b"), "h", "n", "key", "label")
+            parts = materialise(again.select(F.xxhash64("h", "b").alias("h"), "n", "key", "label"), "split-buckets")
+            mixed = mixed.where(F.col("size") <= crowd).union(_mixed(parts))
+        met = mixed.join(distinct.select("key", "sig", "bits"), "key").select("h", "n", "key", "label", "sig", "bits")
+        late = materialise(met.repartition("h").sortWithinPartitions("h", "n", "key").mapInArrow(_across(nearest), "u long, v long").distinct(), "pairs")
+        fresh = materialise(late.join(tried, ["u", "v"], "left_anti"), "pairs")
+        if late.isEmpty():  # no two sets of different groups are alike enough
+            break
+        tried = tried.union(fresh)
+        labels = _merged(labels, confirmed(docs, fresh, distinct, WIDTH))
+    return labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
@@ -206,8 +209,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     prints = materialise(signed(texts), "signatures")
     full = prints.where("n > 0 and doc_id is not null")
-    firsts = full.groupBy("key").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    distinct = materialise(firsts.select("key", "first.*", "n", "sig", "bands"), "distinct-sets")
+    firsts = full.groupBy("key").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
+    distinct = materialise(firsts.select("key", "first.*", "n", "sig", "bits", "bands"), "distinct-sets")
     labels = groups(texts, distinct, crowd)
     # rows of one id are one document: its sets' groups are one
     held = full.select("doc_id", "key").join(labels, "key").select("doc_id", "key", "label")

@@ -363,3 +363,20 @@ def test_grid_finds_near_copies_of_the_training_set(spark):
 
     assert groups(pairs) == groups(near)
     assert {r.doc_id for r in simhash_dedup.keep_one(documents(spark, list(enumerate(texts)))).collect()} == set(range(0, 90, 3))
+
+
+def test_sets_of_one_bucket_are_ruled_out_where_they_meet():
+    """Sets of some similarity 0.7 have signatures that agree enough; their bitmaps rule them out inside the task, and no link is lost."""
+    draw = np.random.default_rng(6)
+    passage = draw.integers(0, 1 << 63, 400).astype(np.uint64)
+    sets = [np.union1d(passage, draw.integers(0, 1 << 63, int(k)).astype(np.uint64)) for k in draw.integers(60, 110, 60)]
+    sets = sorted(sets + [np.union1d(s[:-25], draw.integers(0, 1 << 63, 9).astype(np.uint64)) for s in sets[::4]], key=len)
+    n, values = len(sets), minmax_dedup.signatures(sets)
+    alike = {(a, b) for a in range(n) for b in range(a + 1, n) if 9 * len(np.intersect1d(sets[a], sets[b])) >= 4 * (len(sets[a]) + len(sets[b]))}
+    agree = sum((values[a] == values[b]).sum() >= minmax_dedup.LEAST_EQUAL for a in range(n) for b in range(a + 1, n))
+    sig = (minmax_dedup._mix(values) >> np.uint64(56)).astype(np.uint8)
+    columns = [pa.array([7] * n), pa.array(map(len, sets), pa.int64()), pa.array(range(n)), pa.array(range(n)), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array(map(simhash_dedup.parity_map, sets), pa.binary())]
+    batches = [pa.RecordBatch.from_arrays([c.slice(k, 10) for c in columns], ["h", "n", "key", "label", "sig", "bits"]) for k in range(0, n, 10)]
+    pairs = lambda nearest: {p for b in minmax_dedup._across(nearest)(iter(batches)) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    assert len(alike) >= 15 and alike <= pairs(False) and len(pairs(False)) < 2 * n and agree > 10 * n
+    assert pairs(True) <= pairs(False) and {k for p in pairs(True) for k in p} == {k for p in pairs(False) for k in p}

@@ -124,7 +124,7 @@ def _across(nearest: bool):
         for rows in whole_tables(batches):
             h, n, key, label = (rows.column(k).to_numpy() for k in range(4))
             sig = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint8).reshape(-1, 2 * PERMUTATIONS)
-            maps, left, right = ParityMaps(rows.column(5).to_pylist()), [], []
+            maps, left, right = ParityMaps(rows.column(5)), [], []
             best, who = np.full(len(h), -1), np.full(len(h), -1)
             for i, j in meeting(h, n, label):
                 equal = (sig[i] == sig[j]).sum(axis=1)

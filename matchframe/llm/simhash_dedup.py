@@ -41,6 +41,8 @@ RADIUS = 2
 WIDTH, SAMPLE, COMMON = 5, 20_000, 0.001
 BROADCAST_ROWS = 1_000_000
 _CHUNK = 1 << 16
+#: Bytes of parity maps that are gathered at a time, bytes of the tables in which tasks hold groups, and pairs after which they are given out.
+_GATHERED, _TABLE, _PAIRS = 2 << 20, 8 << 20, 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -265,16 +267,22 @@ def least_difference(a: bytes, b: bytes) -> int:
 class ParityMaps:
     """The parity maps of many rows, for popcounts of many pairs at once; maps of each size, and larger ones folded to it, are one matrix."""
 
-    def __init__(self, maps: list[bytes]):
-        self.maps, self.sizes, self.folded = maps, np.fromiter(map(len, maps), np.int64, len(maps)), {}
+    def __init__(self, maps: list[bytes] | pa.ChunkedArray):
+        self.maps = maps if isinstance(maps, pa.ChunkedArray) else pa.chunked_array([maps], pa.binary())
+        self.sizes, self.folded = pc.binary_length(self.maps).to_numpy().astype(np.int64), {}
 
     def _of(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         if size not in self.folded:
             rows = np.flatnonzero(self.sizes >= size)
-            parts = (np.bitwise_xor.reduce(np.frombuffer(self.maps[k], np.uint64).reshape(-1, size // 8), axis=0) for k in rows.tolist())
-            place = np.zeros(len(self.maps), np.int64)
+            place, maps = np.zeros(len(self.sizes), np.int64), np.empty((len(rows), size // 8), np.uint64)
             place[rows] = np.arange(len(rows))
-            self.folded[size] = place, np.stack(list(parts))
+            for own in np.unique(self.sizes[rows]).tolist():
+                same, step = np.flatnonzero(self.sizes == own), max(1, _GATHERED // own)
+                for k in range(0, len(same), step):
+                    some = same[k : k + step]
+                    whole = np.frombuffer(self.maps.take(pa.array(some)).combine_chunks().buffers()[2], np.uint64, len(some) * own // 8)
+                    maps[place[some]] = np.bitwise_xor.reduce(whole.reshape(len(some), own // size, size // 8), axis=1)
+            self.folded[size] = place, maps
         return self.folded[size]
 
     def differences(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -283,9 +291,9 @@ class ParityMaps:
         least = np.minimum(self.sizes[i], self.sizes[j])
         for size in np.unique(least).tolist():
             place, maps = self._of(size)
-            at = np.flatnonzero(least == size)
-            for k in range(0, len(at), _CHUNK):
-                some = at[k : k + _CHUNK]
+            at, step = np.flatnonzero(least == size), max(1, _GATHERED // size)
+            for k in range(0, len(at), step):
+                some = at[k : k + step]
                 out[some] = np.bitwise_count(maps[place[i[some]]] ^ maps[place[j[some]]]).sum(axis=1, dtype=np.int64)
         return out
 
@@ -360,20 +368,28 @@ def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in kept], ["h", "n", "key"])
 
 
-def whole_tables(batches: Iterator[pa.RecordBatch], size: int = 100_000) -> Iterator[pa.Table]:
-    """As whole_groups, with columns of any type: tables that do not cut a run of equal values of the first column."""
+def whole_tables(batches: Iterator[pa.RecordBatch], size: int = _TABLE) -> Iterator[pa.Table]:
+    """As whole_groups, with columns of any type: tables of about `size` bytes that do not cut a run of equal values of the first column, so only such a run makes a table larger."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
+        if not batch.num_rows:
+            continue
         held.append(batch)
-        if sum(b.num_rows for b in held) >= size:
-            rows = pa.Table.from_batches(held).combine_chunks()
-            h = rows.column(0).to_numpy()
-            whole = int(np.searchsorted(h, h[-1]))  # the last group may go on in the next batch
-            if whole:
+        if sum(b.nbytes for b in held) >= size and held[0].column(0)[0] != batch.column(0)[-1]:
+            h = batch.column(0).to_numpy()
+            rest = int(np.searchsorted(h, h[-1]))  # the last group may go on in the next batch
+            if rest:
+                yield pa.Table.from_batches([*held[:-1], batch.slice(0, rest)]).combine_chunks()
+                held = [batch.slice(rest)]
+            else:  # it began in an earlier batch
+                rows = pa.Table.from_batches(held).combine_chunks()
+                whole = int(np.searchsorted(rows.column(0).to_numpy(), h[-1]))
+                held = rows.slice(whole).to_batches()
                 yield rows.slice(0, whole)
-            held = rows.slice(whole).to_batches()
+                del rows
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+    pa.default_memory_pool().release_unused()  # workers live on from stage to stage
 
 
 def meeting(h: np.ndarray, n: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -411,7 +427,7 @@ def _apart(nearest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_tables(batches):
             h, n, key, label = (rows.column(k).to_numpy() for k in range(4))
-            maps, left, right = ParityMaps(rows.column(4).to_pylist()), [], []
+            maps, left, right, met = ParityMaps(rows.column(4)), [], [], 0
             best, who = np.full(len(h), np.inf), np.full(len(h), -1)
             for i, j in meeting(h, n, label):
                 apart, both = maps.differences(i, j), n[i] + n[j]
@@ -420,6 +436,10 @@ def _apart(nearest: bool):
                 if not nearest:
                     left.append(key[i])
                     right.append(key[j])
+                    met += len(i)
+                    if met >= _PAIRS:
+                        yield pairs_of(left, right)
+                        left, right, met = [], [], 0
                     continue
                 for a, b in ((i, j), (j, i)):
                     more = share < best[a]

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -340,6 +341,31 @@ def test_pairs_of_a_hot_shingle_are_ruled_out_where_they_meet():
     assert pairs(True) <= pairs(False) and {k for p in pairs(True) for k in p} == {k for p in pairs(False) for k in p}
 
 
+def test_groups_of_long_texts_stay_small_in_a_task():
+    """Maps of long texts have 8 KB: tables are bounded by bytes, and pairs are compared a few MB at a time."""
+    draw = np.random.default_rng(5)
+    bits = [draw.bytes(8192) for _ in range(600)]
+    h = np.sort(draw.integers(0, 300, 5000))
+    h[2000:3500] = h[2000]  # one group that is larger than a table and comes in many batches
+    columns = [pa.array(h), pa.array(range(5000)), pa.array([bits[k % 600] for k in range(5000)], pa.binary())]
+    for step in (1, 7, 400):
+        batches = [pa.RecordBatch.from_arrays([c.slice(k, step) for c in columns], ["h", "key", "bits"]) for k in range(0, 5000, step)]
+        tables = list(simhash_dedup.whole_tables(iter(batches)))
+        assert pa.concat_tables(tables).column("key").to_pylist() == list(range(5000))
+        for table, after in zip(tables, tables[1:]):
+            assert table.column(0)[-1].as_py() != after.column(0)[0].as_py()
+        assert all(t.nbytes <= 13 << 20 for t in tables if h[2000] not in t.column(0).to_pylist()) and len(tables) >= 3
+    maps = [b[: 8192 >> k % 3] for k, b in enumerate(bits)]
+    i, j = draw.integers(0, 600, (2, 30_000))
+    held = simhash_dedup.ParityMaps(maps)
+    tracemalloc.start()
+    found = held.differences(i, j)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20
+    assert found[:300].tolist() == [simhash_dedup.least_difference(maps[a], maps[b]) for a, b in zip(i[:300], j[:300])]
+
+
 def test_grid_finds_near_copies_of_the_training_set(spark):
     """The pipeline's near-duplicate stage goes through the grid of fingerprints, of sets of 5-word shingles."""
     draw = random.Random(8)

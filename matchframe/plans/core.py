@@ -30,7 +30,10 @@ def query(sql: str | None = None):  # noqa: ANN201
 
 
 def _matches(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "fx_matches")
+    return parsed_stats(table(spark, d, "fx_matches"))
+
+
+def parsed_stats(m: DataFrame) -> DataFrame:
     return m.withColumn("stat_p1", F.from_json("stat_p1", schema.STATS)).withColumn("stat_p2", F.from_json("stat_p2", schema.STATS))
 
 

@@ -21,14 +21,14 @@ BROKEN = ('{"error":"quota"}', '{"data":{"id":1}}', '"later"', "<html>503</html>
 
 
 def _landed(spark: SparkSession, pages: DataFrame, keys: list[str], name: str) -> str:
-    """A folder with one file for each page, under the folder names of its keys, and four broken pages beside them."""
+    """A folder with one packed file for each page, under the folder names of its keys. A page is one row, so pages are written where they are."""
     out = f"{shared_folder(spark)}/{name}-{uuid4().hex}"
-    pages.repartition(*keys).write.partitionBy(*keys).text(out)
+    pages.write.partitionBy(*keys).option("maxRecordsPerFile", 1).option("compression", "gzip").text(out)
     return out
 
 
 def _broken(pages: DataFrame, keys: dict) -> DataFrame:
-    """A page of each broken body; keys give the other columns."""
+    """A page of each broken body; keys give the other columns. pages: any rows, of which one is made."""
     bodies = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(b).alias("value")) for k, b in enumerate(BROKEN))))
     one = pages.agg(F.count(F.lit(1)).alias("n")).select(bodies.alias("b")).select("b.value", "b.k")
     return one.select("value", *(value(F.col("k")).alias(name) for name, value in keys.items()))
@@ -37,9 +37,9 @@ def _broken(pages: DataFrame, keys: dict) -> DataFrame:
 @query("""SELECT id, tournament_api_id, date, round, surface, tour, p1_id, p2_id, winner_id, score, best_of, json_extract_string(stat_p1, '$.aces') AS aces FROM fx_matches""")
 def ingest_match_files(spark, d):
     """Match pages as landed files, one a page, broken ones among them, read by the ingest path; the tour is a folder's name."""
-    pages = match_pages(spark, d).withColumn("page", F.monotonically_increasing_id())
-    pages = pages.unionByName(_broken(pages, {"tour": lambda k: F.lit("atp"), "page": lambda k: -1 - k}))
-    found = payloads.read_match_payloads(spark, _landed(spark, pages, ["tour", "page"], "match-pages"))
+    pages = match_pages(spark, d).select("tour", "value")
+    pages = pages.unionByName(_broken(_players(spark, d), {"tour": lambda k: F.lit("atp")}))
+    found = payloads.read_match_payloads(spark, _landed(spark, pages, ["tour"], "match-pages"))
     rows = payloads.to_matches(found, F.col("tour"))
     return rows.select("id", "tournament_api_id", "date", "round", "surface", "tour", "p1_id", "p2_id", "winner_id", "score", "best_of", F.col("stat_p1")["aces"].alias("aces"))
 

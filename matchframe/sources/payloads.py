@@ -75,7 +75,8 @@ def to_matches(items: DataFrame, tour: str | Column) -> DataFrame:
     # the stats object is the whole of stat or, without one, of stats
     blob = lambda names: F.from_json(F.when(of("stat").isNotNull(), F.coalesce(*(filled(of("stat")[n]) for n in names))).otherwise(F.coalesce(*(filled(of("stats")[n]) for n in names))), schema.STATS)
     day = first_truthy(of("date"), of("matchDate"))
-    out = items.withColumn("_m", F.from_json("item", _MATCH)).select(
+    parsed = items.select("*", F.explode_outer(F.array(F.from_json("item", _MATCH))).alias("_m"))  # else the filter below would parse an item again for each of its columns
+    out = parsed.select(
         first_truthy(of("id"), of("matchId")).alias("id"),
         of("tournament.id").try_cast("int").alias("tournament_api_id"),
         first_truthy(of("tournament.name"), of("tournament.tournamentName")).alias("tournament_name"),

@@ -210,7 +210,7 @@ vw AS (SELECT tour, a AS me, b AS them, a_wins AS mine, a_wins + b_wins AS meeti
 pl AS (SELECT *, row_number() OVER (PARTITION BY tour, me ORDER BY meetings DESC, them) AS place FROM vw)
 SELECT pl.tour, me AS bio_id, CAST(place AS INTEGER) AS place, them, meetings, mine AS my_wins, last_matches, last_wins FROM pl JOIN la ON la.tour = pl.tour AND la.bio_id = pl.me WHERE place <= 5""")
 def history_drilldown(spark, d):
-    return history.drilldown(history_recent(spark, d), h2h_views(spark, d))
+    return history.drilldown(history.last_sides(_plain(spark, d), _players(spark, d), 15), h2h_views(spark, d))
 
 
 @query("WITH " + SIDES + " SELECT tour, bio_id, CAST(year(date) AS INTEGER) AS year, coalesce(surface, 'H') AS surface, count(*) FILTER (won) AS wins, count(*) FILTER (NOT won) AS losses FROM tr WHERE winner_id IS NOT NULL GROUP BY ALL")

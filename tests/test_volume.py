@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import random
 import re
 from pathlib import Path
 
@@ -10,6 +11,7 @@ import pytest
 from conftest import SF, compare
 from pyspark.sql import functions as F
 
+from matchframe.operators import project
 from matchframe.plans import core, exports, more
 
 
@@ -67,3 +69,22 @@ def test_opponents_are_looked_up_for_the_last_matches_alone(spark, no_broadcast,
 
 def test_drilldown_needs_no_opponents(spark, no_broadcast):
     assert not any("o_mid" in line for line in plan(core.QUERIES["history_drilldown"](spark, SF)))
+
+
+def test_chart_without_all_pairs(spark):
+    draw = random.Random(3)
+    players = spark.createDataFrame([(k, draw.randrange(1, 60), draw.choice(["W", "F", "R32", "none", None])) for k in range(400)], "id long, rank int, last_result string")
+    events = spark.createDataFrame([(f"e{k}", draw.choice(["GS", "M1000", "W250", None]), draw.random() < 0.5) for k in range(30)], "event_id string, type string, live boolean")
+    plain = project.chart_rows(project.points_at_stake(players, events))
+    assert sorted(map(str, project.top_chart(players, events).collect())) == sorted(map(str, plain.collect()))
+    # the events are joined last, to the best of each kind
+    lines = plan(core.QUERIES["project_chart"](spark, SF))
+    assert any("Window" in line for line in lines[next(k for k, line in enumerate(lines) if "Join" in line) :])
+
+
+@pytest.mark.parametrize("name", ["project_expected_points", "project_stakes"])
+def test_players_meet_events_by_slices(spark, no_broadcast, name):
+    """The join of players and events is dealt out by kind and slice, not by some ten kinds alone, and stakes are worked out before it."""
+    lines = plan(core.QUERIES[name](spark, SF))
+    join = next(k for k, line in enumerate(lines) if "SortMergeJoin" in line)
+    assert "_slice" in lines[join] and not any("CASE WHEN" in line for line in lines[:join])

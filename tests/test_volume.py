@@ -11,7 +11,7 @@ import pytest
 from conftest import SF, compare
 from pyspark.sql import functions as F
 
-from matchframe.operators import project
+from matchframe.operators import merge, project
 from matchframe.plans import core, exports, more
 
 
@@ -88,3 +88,18 @@ def test_players_meet_events_by_slices(spark, no_broadcast, name):
     lines = plan(core.QUERIES[name](spark, SF))
     join = next(k for k, line in enumerate(lines) if "SortMergeJoin" in line)
     assert "_slice" in lines[join] and not any("CASE WHEN" in line for line in lines[:join])
+
+
+@pytest.mark.parametrize("name", ["merge_insert_ignore", "merge_patch_late", "merge_upsert"])
+def test_merges_shuffle_rows_by_id_once(spark, no_broadcast, name):
+    """Lines and orders of base and batch, and both by id before any statistics; the merge itself needs none."""
+    df = core.QUERIES[name](spark, SF)
+    lines = [line for line in plan(df) if "Exchange hashpartitioning" in line]
+    assert sum("hashpartitioning(id#" in line for line in lines) == 2 and len(lines) == 6
+
+
+def test_first_of_new_keys_with_null_keys(spark):
+    frame = lambda *rows: spark.createDataFrame(rows, "id string, v int, ord long")
+    base, batch = frame(("a", 1, 0), ("a", 2, 0), (None, 3, 0)), frame(("a", 4, 1), ("b", 6, 2), ("b", 5, 1), (None, 8, 2), (None, 7, 1))
+    got = merge.insert_ignore(base.drop("ord"), batch, ["id"], "ord")
+    assert sorted(map(str, got.collect())) == sorted(map(str, frame(("a", 1, 0), ("a", 2, 0), (None, 3, 0), ("b", 5, 0), (None, 7, 0)).drop("ord").collect()))

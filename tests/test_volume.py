@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from matchframe.operators import merge, project
 from matchframe.plans import core, exports, more
+from matchframe.streaming import streams
 
 
 def plan(df) -> list[str]:
@@ -103,3 +104,18 @@ def test_first_of_new_keys_with_null_keys(spark):
     base, batch = frame(("a", 1, 0), ("a", 2, 0), (None, 3, 0)), frame(("a", 4, 1), ("b", 6, 2), ("b", 5, 1), (None, 8, 2), (None, 7, 1))
     got = merge.insert_ignore(base.drop("ord"), batch, ["id"], "ord")
     assert sorted(map(str, got.collect())) == sorted(map(str, frame(("a", 1, 0), ("a", 2, 0), (None, 3, 0), ("b", 5, 0), (None, 7, 0)).drop("ord").collect()))
+
+
+def test_a_merge_by_part_is_one_shuffle_and_leaves_nothing_staged(spark, tmp_path):
+    kind = "id string, round string, winner_id long, score string, fetched_at string, stat_p1 string, stat_p2 string"
+    rows = spark.createDataFrame([(str(i), "F", None, "", "t0", None, None) for i in range(8)], kind)
+    part = lambda: F.pmod(F.col("id").cast("long"), F.lit(4)).cast("long")
+    table, ledger = str(tmp_path / "table"), str(tmp_path / "ledger")
+    streams.create_table(rows, table, part, ledger)
+    batch = spark.createDataFrame([("1", "SF", 7, "6-1", "t1", "a", None, 1), ("9", "R1", None, "", "t3", None, None, 3)], kind + ", ord long")
+    assert streams.merge_batch(batch, 0, batch.columns[:-1], table, "ord", part, ledger)
+    assert not (tmp_path / "ledger-staged" / "0").exists()
+    held, landed = (df.withColumn("part", part()) for df in (rows, batch))
+    lines = [line for line in plan(merge.patch_late(held, landed, "ord", by="part")) if "Exchange" in line]
+    assert len(lines) == 1 and "rangepartitioning" in lines[0]
+    assert {r.id: r.winner_id for r in spark.read.parquet(table).collect()} == {str(i): 7 if i == 1 else None for i in [*range(8), 9]}
